@@ -32,7 +32,7 @@ LENGTH = 200
 GRAMS = (32, 128, 176, 192, 200)  # of level 0, 1, ...; the last is the window itself
 HOT = 1024  # different fragments of a key that one task sorts
 MOST = 4096  # windows in a fragment
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
