@@ -9,7 +9,7 @@ likelihood of the register counts discards hopeless pairs, and the full sets con
 Pairs are proposed in two passes. First each class with the smallest class of each of its
 buckets (linear in the input, whatever a bucket's size). Components follow from the confirmed
 links. Then, only in buckets that still hold several components, the members of different
-components, estimated in blocks of bounded size. Members of one component need no more links.
+components meet, in blocks of bounded size. Members of one component need no more links.
 
 With 288 registers in 48 bands of 6 a pair at similarity 0.75 is missed with probability
 (1 - 0.75**6)**48 < 1e-4, at 0.8 < 1e-6.
@@ -37,6 +37,7 @@ BANDS, ROWS = 48, 6
 SPREAD, TOP = 1.02, 65534  # SetSketch's b and q
 BLOCK = 2048  # classes of an unsettled bucket that one task compares at once
 SALT = 64  # classes that one task confirms against one copy of the leader
+SETS_BYTES = 64 << 20  # full sets that a task keeps while it compares a bucket
 FLOOR = 0.55  # pairs whose likeliest similarity is below this are not confirmed on full sets
 
 _seeds = np.random.Generator(np.random.PCG64(77))
@@ -173,43 +174,79 @@ def _confirmed(pairs: DataFrame, zipped: DataFrame, reps: DataFrame, size: int,
     return written(want.mapInArrow(run, "a bigint, b bigint"), name)
 
 
-def _unsettled(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components out of buckets (key, id, root, m), likely by their
-    registers. A bucket of m members is dealt to blocks; a task gets two blocks and compares them."""
+def _unsettled(members: DataFrame, zipped: DataFrame, reps: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+    """Links (a, b) between different components out of buckets (key, id, root, m). A bucket of m
+    members is dealt to blocks; a task gets two blocks, compares their registers, confirms what is
+    likely on the full sets at once, and compares no more what it has linked so far."""
     parts = F.ceil(F.col("m") / BLOCK)
     mine = F.pmod(F.xxhash64("id"), F.col("p"))
     dealt = members.withColumn("p", parts).withColumn("mine", mine).select("key", "id", "root", "mine", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("p") - 1)).alias("other"))
     dealt = dealt.select("key", "id", "root", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    dealt = dealt.join(reps.select("id", "n", "regs"), "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    dealt = dealt.select("key", "x", "y", "id", "root", "mine", "n", "regs")
+    dealt = dealt.join(reps.select("id", "n", "regs", "skey"), "id").join(zipped.withColumnRenamed("doc_id", "id"), "id")
+    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "id", "root", "mine", "n", "regs", "skey", "z")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        tool = zstandard.ZstdDecompressor()
+        apart: set[tuple[int, int]] = set()  # pairs that another bucket of this task has found apart
+
         def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             if len({r[1] for r in rows}) < 2:
                 return
             ids, root, mine, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
             regs = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), -1)
             across = mine.min() != mine.max()
+            held: dict[int, np.ndarray | None] = {}
+            bytes_held = 0
+
+            def full(i: int) -> np.ndarray | None:
+                nonlocal bytes_held
+                if i not in held:
+                    if bytes_held > SETS_BYTES:
+                        held.clear()
+                        bytes_held = 0
+                    s = next(iter(shingle_sets([tool.decompress(rows[i][6])], size)))
+                    held[i] = s if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == rows[i][5] else None
+                    bytes_held += s.nbytes
+                return held[i]
+
+            found: tuple[list, list] = ([], [])
             for k in range(len(rows)):
                 to = np.flatnonzero((root[k + 1 :] != root[k]) & ((mine[k + 1 :] != mine[k]) | (not across))) + k + 1
-                to = to[100 * np.minimum(n[to], n[k]) >= 50 * np.maximum(n[to], n[k])]
+                to = to[100 * np.minimum(n[to], n[k]) >= percent * np.maximum(n[to], n[k])]
                 if len(to):
                     like = joint_estimate(np.full(len(to), float(n[k])), n[to].astype(float), *_counts(regs[k], regs[to]), regs.shape[1])
                     to = to[like >= FLOOR]
-                    lo, hi = np.minimum(ids[to], ids[k]), np.maximum(ids[to], ids[k])
-                    if len(to):
-                        yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
+                for i in to.tolist():
+                    pair = (min(ids[k], ids[i]), max(ids[k], ids[i]))
+                    if root[i] == root[k] or pair in apart:
+                        continue
+                    one, two = full(k), full(i)
+                    if one is None or two is None:
+                        continue
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if 100 * both >= percent * (len(one) + len(two) - both):
+                        found[0].append(int(pair[0]))
+                        found[1].append(int(pair[1]))
+                        root[root == root[i]] = root[k]
+                    else:
+                        if len(apart) > 500_000:
+                            apart.clear()
+                        apart.add(pair)
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
         at, rows = None, []
-        for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+        for batch in slices(batches, "z", 1 << 20):
+            for r in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
                 if r[:3] != at:
                     yield from compare(rows)
                     at, rows = r[:3], []
                 rows.append(r[3:])
         yield from compare(rows)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return written(dealt.mapInArrow(run, "a bigint, b bigint"), name)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -236,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The leader has met all the others: only these are left to meet.
     members = written(three.join(mixed.select("key"), "key").select("key", F.col("b").alias("id"), F.col("rb").alias("root"), "m"), "members")
     if not members.isEmpty():
-        more = _confirmed(_unsettled(members, reps), zipped, reps, size, percent, "links")
+        more = _unsettled(members, zipped, reps, size, percent, "links")
         found = components(links.unionByName(more))
 
     named = reps.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("skey", F.coalesce("root", "id").alias("component"))
