@@ -1,5 +1,4 @@
-"""Helpers shared by the training-data operators: tables in the shared folder, bounded slices of
-Arrow batches, and vectorised hashing of words and byte strings.
+"""Helpers shared by the training-data operators: bounded slices of Arrow batches, and vectorised hashing of words and byte strings.
 
 Conventions of every operator: a null text counts as empty unless stated, columns other than the
 id and the text are ignored (so extra or clashing columns are harmless), repeated rows each get
@@ -8,42 +7,19 @@ their own output row, and an empty table gives an empty result with the same sch
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 19  # text handled at once by a numpy kernel
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one made here where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="skyloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._table_path = path
-    return out
-
+from ..functions.tables import forget, shared_dir, written  # noqa: F401
+from ..operators.graph import components  # noqa: F401
 
-def forget(df: DataFrame) -> None:
-    """Delete the table of written(), once nothing reads it any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._table_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+SLICE_BYTES = 1 << 19  # text handled at once by a numpy kernel
 
 
 def crc_mod(id_col: Column, mod: int) -> Column:
@@ -177,32 +153,3 @@ def packed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tool.compress(x) for x in texts(batch)], pa.binary())], ["doc_id", "z"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, z binary")
-
-
-# -- connected components ---------------------------------------------------------------------------
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root): nodes of edges (a, b) other than the smallest of their component, with that.
-
-    Large-star and small-star rounds (O(log^2 n) of them) until the edges are stars. Minima are
-    pre-aggregated and the joins are plain equi-joins, which Spark splits when a hub is hot;
-    each round is a table in the shared folder.
-    """
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1000003)).first())
-
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), name)
-    seen = state(now)
-    while seen[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        new = written(small, name)
-        forget(now)
-        now, before = new, seen
-        seen = state(now)
-        if seen == before:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

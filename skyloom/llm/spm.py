@@ -54,8 +54,8 @@ class Lattice:
         key = span_hash(prefix_hash(data), start, end)
         by = np.argsort(key)
         self.keys, self.ids, self.weight = key[by], np.array(ids, np.int32)[by], (-theta * np.log1p(rank))[by]
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(key >> np.uint64(42)).astype(np.int64)] = True
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(key >> np.uint64(44)).astype(np.int64)] = True
         self.lengths = np.unique([len(x) for x in names])
         self.byte_weight = -theta * np.log1p(len(names))
 
@@ -134,7 +134,7 @@ class Lattice:
         for length in self.lengths.tolist():
             starts = starts[room[starts] >= length]
             key = mix((prefix[starts + length] - prefix[starts]) * back[starts] + np.uint64(length))
-            hit = np.flatnonzero(self.maybe[(key >> np.uint64(42)).astype(np.int64)])
+            hit = np.flatnonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])
             piece = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
             true = self.keys[piece] == key[hit]
             begins.append(starts[hit[true]])
