@@ -97,7 +97,7 @@ class Lattice:
         stop = np.minimum(np.append(at[1:], len(data)), end[owner])
         code = span_hash(prefix_hash(data), at, stop)
         _, one, which = np.unique(code, return_index=True, return_inverse=True)
-        final, base, cum, edge_from, edge_id = self.lattice([data[a:b].tobytes() for a, b in zip(at[one].tolist(), stop[one].tolist(), strict=True)])
+        final, base, cum, edge_from, edge_id, first_edge = self.lattice([data[a:b].tobytes() for a, b in zip(at[one].tolist(), stop[one].tolist(), strict=True)])
         # backward sampling of all chunks at once
         first = np.searchsorted(owner, np.arange(len(parts)))
         seed = mix(keys.view(np.uint64)[owner] + (np.arange(len(at)) - first[owner]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -107,7 +107,11 @@ class Lattice:
         count = np.zeros(len(at), np.int64)
         while len(live):
             u = (mix(seed[live] + np.uint64(len(steps) + 1)) >> np.uint64(11)).astype(np.float64) / 2**53
-            e = np.searchsorted(cum, place + u * (1 - 1e-9), "right")
+            e = first_edge[place]
+            on = np.flatnonzero(u >= cum[e])
+            while len(on):  # a place has few edges
+                e[on] += 1
+                on = on[u[on] >= cum[e[on]]]
             steps.append((live, edge_id[e]))
             count[live] += 1
             place = edge_from[e]
@@ -122,9 +126,9 @@ class Lattice:
         return [out[ends[a] : ends[b]] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
 
     def lattice(self, chunks: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(end place of each chunk, its first place, cumulated edge probabilities plus their end place,
-        the edges' start places and ids), edges in the order of their end places. A chunk's places are
-        its bytes' and the one after them."""
+        """(end place of each chunk, its first place, edge probabilities cumulated among those of one end
+        place, the edges' start places and ids, each place's first edge), edges in the order of their end
+        places. A chunk's places are its bytes' and the one after them."""
         data, start, end = joined(chunks, b"\0")
         prefix, n = prefix_hash(data), len(data)
         room = np.repeat(end, np.diff(np.append(start, n))) - np.arange(n)
@@ -187,7 +191,9 @@ class Lattice:
         inside = np.clip(total - before, 0, 1)
         if len(heads):
             inside[np.append(heads[1:], len(stops)) - 1] = 1
-        return end, start, stops + inside, begins, ids
+        first_edge = np.zeros(n + 1, np.int64)
+        first_edge[stops[heads]] = heads
+        return end, start, inside, begins, ids, first_edge
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
