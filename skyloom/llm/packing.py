@@ -29,7 +29,7 @@ CAPACITY = 2048
 SMALL = 16  # lengths up to capacity / SMALL are small
 GROUPS = 512  # groups of equal cardinality
 SALTS = 64
-CACHE = 600_000  # chunks of text whose ids a worker remembers
+CACHE = 1_600_000  # chunks of text whose ids a worker remembers
 
 
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
