@@ -86,7 +86,7 @@ def spanning_forest(edges: DataFrame, weight: Column) -> DataFrame:
     chosen = None
     while not left.isEmpty():
         both = left.select("a", "weight", "i", "j").unionByName(left.select(F.col("b").alias("a"), "weight", "i", "j"))
-        best = both.groupBy("a").agg(F.min(F.struct("weight", "i", "j")).alias("e")).select("e.weight", "e.i", "e.j").distinct()
+        best = both.groupBy("a").agg(F.min(F.struct("weight", "i", "j")).alias("e")).select("e.i", "e.j", "e.weight").distinct()
         best = written(best, "chosen")
         chosen = best if chosen is None else chosen.unionByName(best)
         ends = left.join(best.select("i", "j"), ["i", "j"], "left_semi").select("a", "b")

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.geometry import AXES, minimum_image, wrap
+from ..functions.geometry import AXES, minimum_image
 
-ORDER = Window.partitionBy("fil").orderBy("k")
+
+def order() -> WindowSpec:
+    return Window.partitionBy("fil").orderBy("k")
 
 
 def unwrapped(nodes: DataFrame, box: float) -> DataFrame:
     """nodes with ux, uy, uz: positions that run on across the box's faces from the first node."""
     for c in AXES:
-        step = minimum_image(F.col(c) - F.lag(c).over(ORDER), box)
+        step = minimum_image(F.col(c) - F.lag(c).over(order()), box)
         nodes = nodes.withColumn(f"d{c}", F.coalesce(step, F.lit(0)))
-    first = {c: F.first(c).over(ORDER) for c in AXES}
-    return nodes.withColumns({f"u{c}": first[c] + F.sum(f"d{c}").over(ORDER) for c in AXES})
+    first = {c: F.first(c).over(order()) for c in AXES}
+    return nodes.withColumns({f"u{c}": first[c] + F.sum(f"d{c}").over(order()) for c in AXES})
 
 
 def arc_length(nodes: DataFrame, box: float) -> DataFrame:
     """nodes with d (length of the piece that ends here), s (running length), and unwrapped positions."""
     out = unwrapped(nodes, box).withColumn("d", F.sqrt((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).cast("double")))
-    return out.withColumn("s", F.sum("d").over(ORDER))
+    return out.withColumn("s", F.sum("d").over(order()))
 
 
 def properties(nodes: DataFrame, box: float) -> DataFrame:
@@ -46,7 +48,7 @@ def smoothed(nodes: DataFrame, box: float, times: int = 1) -> DataFrame:
     """Kernel 1/4, 1/2, 1/4 applied `times` times on unwrapped positions; the ends stay."""
     out = unwrapped(nodes, box).select("fil", "k", *(F.col(f"u{c}").cast("double").alias(c) for c in AXES))
     for _ in range(times):
-        out = out.select("fil", "k", *(F.coalesce(F.lag(c).over(ORDER) / 4 + F.col(c) / 2 + F.lead(c).over(ORDER) / 4, F.col(c)).alias(c) for c in AXES))
+        out = out.select("fil", "k", *(F.coalesce(F.lag(c).over(order()) / 4 + F.col(c) / 2 + F.lead(c).over(order()) / 4, F.col(c)).alias(c) for c in AXES))
     return out
 
 
@@ -58,7 +60,7 @@ def reversed_(nodes: DataFrame) -> DataFrame:
 def resampled(nodes: DataFrame, box: float, bins: int) -> DataFrame:
     """bins points at equal arc lengths, the first and last node kept: (fil, i, s, x, y, z)."""
     u = arc_length(nodes, box)
-    piece = u.select("fil", "k", "s", "d", *(f"u{c}" for c in AXES), *(F.lag(f"u{c}").over(ORDER).alias(f"p{c}") for c in AXES), F.max("s").over(Window.partitionBy("fil")).alias("len"), F.max("k").over(Window.partitionBy("fil")).alias("last"))
+    piece = u.select("fil", "k", "s", "d", *(f"u{c}" for c in AXES), *(F.lag(f"u{c}").over(order()).alias(f"p{c}") for c in AXES), F.max("s").over(Window.partitionBy("fil")).alias("len"), F.max("k").over(Window.partitionBy("fil")).alias("last"))
     step = F.col("len") / (bins - 1)
     # a piece holds the points i with s - d <= i * step < s, the last piece also the end
     lo = F.when(F.col("k") == 1, F.lit(0)).otherwise(F.ceil((F.col("s") - F.col("d")) / step).cast("int"))
@@ -76,8 +78,8 @@ def prolonged(nodes: DataFrame, box: float, step: float) -> DataFrame:
     u = arc_length(nodes, box)
     seq = Window.partitionBy("fil")
     ends = u.withColumn("last", F.max("k").over(seq)).withColumn("len", F.max("s").over(seq))
-    near = {c: F.lead(f"u{c}").over(ORDER) for c in AXES}
-    ends = ends.withColumns({f"n{c}": near[c] for c in AXES}).withColumn("nd", F.lead("d").over(ORDER)).where("last > 0 and (k = 0 or k = last)")
+    near = {c: F.lead(f"u{c}").over(order()) for c in AXES}
+    ends = ends.withColumns({f"n{c}": near[c] for c in AXES}).withColumn("nd", F.lead("d").over(order())).where("last > 0 and (k = 0 or k = last)")
     n = F.floor(F.col("len") / 2 / step).cast("int")
     more = ends.withColumn("n", n).where("n > 0").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n"))))
     head = F.col("k") == 0
@@ -86,5 +88,3 @@ def prolonged(nodes: DataFrame, box: float, step: float) -> DataFrame:
     new = more.where(length > 0).select("fil", F.when(head, -F.col("j")).otherwise(F.col("k") + F.col("j")).cast("bigint").alias("k"), *((F.col(f"u{c}") + grow[c] / length * F.col("j") * step).alias(c) for c in AXES))
     return nodes.select("fil", "k", *(F.col(c).cast("double").alias(c) for c in AXES)).unionByName(new.select("fil", "k", *(F.pmod(F.col(c), F.lit(float(box))).alias(c) for c in AXES)))
 
-
-__all__ = ["arc_length", "prolonged", "properties", "resampled", "reversed_", "smoothed", "unwrapped", "wrap"]

@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, minimum_image, ring
-from .polyline import ORDER, arc_length
+from .polyline import arc_length, order
 from .rangejoin import range_join
 
 
 def pieces(nodes: DataFrame, box: float) -> DataFrame:
     """(fil, k, ax..az, ex..ez, d, s0, len): piece k runs from node k by (ex, ey, ez)."""
     u = arc_length(nodes, box)
-    nxt = {c: F.lead(f"d{c}").over(ORDER) for c in AXES}
-    out = u.select("fil", "k", *(F.col(c).alias(f"a{c}") for c in AXES), *(nxt[c].alias(f"e{c}") for c in AXES), F.lead("d").over(ORDER).alias("d"), F.col("s").alias("s0"), F.max("s").over(Window.partitionBy("fil")).alias("len"))
+    nxt = {c: F.lead(f"d{c}").over(order()) for c in AXES}
+    out = u.select("fil", "k", *(F.col(c).alias(f"a{c}") for c in AXES), *(nxt[c].alias(f"e{c}") for c in AXES), F.lead("d").over(order()).alias("d"), F.col("s").alias("s0"), F.max("s").over(Window.partitionBy("fil")).alias("len"))
     return out.where("d > 0")
 
 
