@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,8 +128,9 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "quality", o
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(features(texts(batch))), pa.list_(pa.float64()))], ["y", "x"])
 
-    ids = rows.select("y", "h").withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where(F.col("r") <= per_kind)
-    bound = {r["y"]: r["h"] for r in ids.groupBy("y").agg(F.max("h").alias("h")).collect()}  # hashes up to it are the sample
+    bound = {}  # hashes up to it are the sample; a top-k each, so no task gets more than that
+    for y in total:
+        bound[y] = rows.where(F.col("y") == y).select("h").orderBy("h").limit(per_kind).agg(F.max("h").alias("h")).first()["h"]
     chosen = rows.where(F.expr(" or ".join(f"(y = {y} and h <= {h})" for y, h in bound.items())))
     sample = chosen.select("y", "text").mapInArrow(run, "y int, x array<double>").toPandas()
     x, y = np.array(sample["x"].tolist()), sample["y"].to_numpy()
