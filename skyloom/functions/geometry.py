@@ -81,10 +81,12 @@ def virial_radius(m: Column, box: float, mpart: float, npart: int, b: float, fac
 
 
 def hashed_uniform(*keys: Column | int, prime: int = 1_000_003) -> Column:
-    """Counter-based uniforms in [0, 1): an integer hash of the keys, the same in any engine.
-    Keys are taken modulo the prime before they are multiplied, so nothing overflows."""
+    """Counter-based uniforms in [0, 1): an integer hash of the keys, the same in any engine. Each round
+    squares, and two rounds follow the last key: draws that differ in one key (a seed) are neither
+    shifts nor fixed differences of each other. Keys are taken
+    modulo the prime before they are multiplied, so nothing overflows."""
     h = F.lit(12_345).cast("bigint")
-    for k in keys:
+    for k in (*keys, 0, 0):
         k = F.lit(k) if isinstance(k, int) else k
-        h = (h * 7_919 + F.pmod(k.cast("bigint"), F.lit(prime)) * 104_729 + 1) % prime
+        h = (h * (h + 7_919) + F.pmod(k.cast("bigint"), F.lit(prime)) * 104_729 + 1) % prime
     return h / prime

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import AXES
 from ..functions.tables import forget, written
-from .rangejoin import range_self_join
+from .rangejoin import exists_within, range_self_join
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -97,3 +98,61 @@ def spanning_forest(edges: DataFrame, weight: Column) -> DataFrame:
         forget(left)
         left = new
     return chosen if chosen is not None else edges.select("i", "j", weight.alias("weight")).limit(0)
+
+
+def admissible(edges: DataFrame, points: DataFrame, r0: float, step: float, box: float, same: str) -> DataFrame:
+    """Edges (i, j, x, y, z, ex, ey, ez, d, `same`) of which every sample on the way, one each `step` from
+    half a step on and the last amid the remainder, has a point of the same `same` within r0."""
+    m = F.floor(F.col("d") / step).cast("int")
+    t = F.explode(F.sequence(F.lit(0), m))
+    rows = edges.where("d > 0").withColumn("m", m).withColumn("t", t)
+    at = F.when(F.col("t") < F.col("m"), (F.col("t") + 0.5) * step).otherwise((F.col("m") * step + F.col("d")) / 2)
+    probes = rows.select("i", "j", "t", same, *(F.pmod(F.col(c) + F.col(f"e{c}") * at / F.col("d"), F.lit(float(box))).alias(c) for c in AXES))
+    good = exists_within(probes, points, r0, box, same).groupBy("i", "j").agg(F.count("*").alias("good"))
+    return rows.groupBy("i", "j").agg(F.count("*").alias("good")).join(good, ["i", "j", "good"]).select("i", "j")
+
+
+def scaled_weights(edges: DataFrame) -> DataFrame:
+    """edges with `scaled`: weights from 0 (the largest) to 1 (the smallest)."""
+    ends = edges.agg(F.min("weight").alias("lo"), F.max("weight").alias("hi"))
+    # one row: its size is proven
+    return edges.join(F.broadcast(ends)).withColumn("scaled", F.try_divide(F.col("weight") - F.col("hi"), F.col("lo") - F.col("hi"))).drop("lo", "hi")
+
+
+def pruned(edges: DataFrame, mass: DataFrame, level: int, survive: float | None = None) -> DataFrame:
+    """Forest edges (i, j) without short branches. In pass 1 to `level`, chains from a leaf of at most that
+    many nodes to a junction go, and whole paths of so few; nodes (id, numpart) above `survive`, on the
+    chain or at its end, protect it. Passes end at the first that removes nothing. Walks are bounded by `level`."""
+    left, kept = written(edges.select("i", "j"), "forest"), mass.select(F.col("id").alias("i"), (F.col("numpart") > (float("inf") if survive is None else survive)).alias("heavy"))
+    for cut in range(1, level + 1):
+        both = left.unionByName(left.select(F.col("j").alias("i"), F.col("i").alias("j")))
+        node = written(both.groupBy("i").agg(F.count("*").alias("deg")).join(kept, "i", "left").select("i", "deg", F.coalesce("heavy", F.lit(False)).alias("heavy")), "degrees")
+        nxt = node.select(F.col("i").alias("j"), F.col("deg").alias("to_deg"), F.col("heavy").alias("to_heavy"))
+        walk = node.where("deg = 1 and not heavy").select("i", F.lit(None).cast("bigint").alias("prev"), F.array("i").alias("path"))
+        doomed = None
+        for _ in range(cut):
+            moved = walk.join(both, "i").where(~F.col("j").eqNullSafe(F.col("prev"))).join(nxt, "j").where("not to_heavy")
+            ended = moved.where("to_deg != 2").select(F.explode(F.when(F.col("to_deg") == 1, F.array_append("path", F.col("j"))).otherwise(F.col("path"))).alias("id"))
+            doomed = ended if doomed is None else doomed.unionByName(ended)
+            walk = moved.where("to_deg = 2").select(F.col("j").alias("i"), F.col("i").alias("prev"), F.array_append("path", F.col("j")).alias("path"))
+        doomed = written(doomed.distinct(), "doomed")
+        if doomed.isEmpty():
+            break
+        left = written(left.join(doomed.select(F.col("id").alias("i")), "i", "left_anti").join(doomed.select(F.col("id").alias("j")), "j", "left_anti").select("i", "j"), "forest")
+    return left
+
+
+def rooted(edges: DataFrame, mass: DataFrame) -> DataFrame:
+    """(id, root, parent, depth) of every node of forest edges (i, j): each tree hangs from its heaviest
+    node (ties to the smaller id). One round, a table, for each level of depth."""
+    both = written(edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))), "darts")
+    ids = both.select(F.col("i").alias("id")).distinct().join(mass.select("id", "numpart"), "id", "left")
+    trees = written(labels(ids, edges.select(F.col("i").alias("a"), F.col("j").alias("b"))), "trees")
+    top = trees.groupBy("root").agg(F.max_by("id", F.struct(F.coalesce("numpart", F.lit(-1)), -F.col("id"))).alias("id"))
+    now = written(top.select("id", F.col("id").alias("root"), F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("depth")), "level")
+    out = now
+    while not now.isEmpty():
+        step = now.join(both, now["id"] == both["i"]).where(~F.col("j").eqNullSafe(F.col("parent")))
+        now = written(step.select(F.col("j").alias("id"), "root", F.col("id").alias("parent"), (F.col("depth") + 1).alias("depth")), "level")
+        out = out.unionByName(now)
+    return out

@@ -27,6 +27,12 @@ def arc_length(nodes: DataFrame, box: float) -> DataFrame:
     return out.withColumn("s", F.sum("d").over(order()))
 
 
+def fractional(nodes: DataFrame, box: float) -> DataFrame:
+    """nodes of filaments with a length, with t, their share of it."""
+    u = arc_length(nodes, box).withColumn("len", F.max("s").over(Window.partitionBy("fil")))
+    return u.where("len > 0").select("fil", "k", *AXES, (F.col("s") / F.col("len")).alias("t"))
+
+
 def properties(nodes: DataFrame, box: float) -> DataFrame:
     """(fil, size, len, elong, rms): rms is the transverse deviation of inner nodes from the chord over
     all nodes; filaments of one node have no length and are left out."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, minimum_image, ring
-from .polyline import arc_length, order
+from .polyline import arc_length, order, resampled
 from .rangejoin import range_join
 
 
@@ -22,7 +22,7 @@ def pieces(nodes: DataFrame, box: float) -> DataFrame:
 
 
 def nearest_piece(points: DataFrame, nodes: DataFrame, r: float, box: float) -> DataFrame:
-    """(pid, fil, k, along, perp2, s, len, vpar, vperp): for each particle within r of a node, the piece
+    """(pid, fil, k, along, perp2, s, len, vpar, vperp, vx..vz, ux..uz): for each particle within r of a node, the piece
     of each filament on whose length it projects and from whose line it is nearest, within r; ties to
     the smaller k. Candidates are distinct (particle, filament) pairs."""
     near = range_join(points.select("id", *AXES), nodes.select("fil", *AXES), r, box).select(F.col("p_id").alias("id"), F.col("c_fil").alias("fil")).distinct()
@@ -39,7 +39,7 @@ def nearest_piece(points: DataFrame, nodes: DataFrame, r: float, box: float) ->
     t = F.col("num") / F.col("e2")
     away = {c: F.col(f"r{c}") - t * F.col(f"e{c}") for c in AXES}
     perp = F.try_divide(F.col("vx") * away["x"] + F.col("vy") * away["y"] + F.col("vz") * away["z"], F.sqrt(F.col("perp2")))
-    return got.select("pid", "fil", "k", (F.col("num") / F.col("d")).alias("along"), "perp2", (F.col("s0") + F.col("num") / F.col("d")).alias("s"), "len", par.alias("vpar"), F.coalesce(perp, F.lit(0.0)).alias("vperp"))
+    return got.select("pid", "fil", "k", (F.col("num") / F.col("d")).alias("along"), "perp2", (F.col("s0") + F.col("num") / F.col("d")).alias("s"), "len", par.alias("vpar"), F.coalesce(perp, F.lit(0.0)).alias("vperp"), *(f"v{c}" for c in AXES), *((F.col(f"e{c}") / F.col("d")).alias(f"u{c}") for c in AXES))
 
 
 def profile_matrix(projected: DataFrame, edges: Sequence[float], nx: int, keys: Sequence[str] = ("fil",), gate: int = 10) -> DataFrame:
@@ -51,6 +51,80 @@ def profile_matrix(projected: DataFrame, edges: Sequence[float], nx: int, keys:
     return binned.groupBy(*keys, "ix", "iy").agg(F.count("*").alias("n"), F.avg("vpar").alias("vpar"), dev("vpar").alias("spar"), F.avg("vperp").alias("vperp"), dev("vperp").alias("sperp"))
 
 
+def tube_statistics(projected: DataFrame, r_in: float, mpart: float = 1.0, window: tuple[float, float] = (0.25, 0.75)) -> DataFrame:
+    """(fil, n, n_in, mu_in, bx..bz, sigma, n_mid, mid) of nearest_piece()'s rows: particles, those within
+    r_in of the line and their mass for each length, the tube's bulk velocity, the sample deviation
+    of the velocity across the piece with the bulk removed (0 for one particle), particles within r_in in the
+    middle window of the length, and their number for each volume of that window."""
+    bulk = projected.groupBy("fil").agg(*(F.avg(f"v{c}").alias(f"b{c}") for c in AXES))
+    rel = {c: F.col(f"v{c}") - F.col(f"b{c}") for c in AXES}
+    rows = projected.join(bulk, "fil")
+    par = sum((rel[c] * F.col(f"u{c}") for c in AXES), F.lit(0.0))
+    across = F.sqrt(F.greatest(sum((rel[c] * rel[c] for c in AXES), F.lit(0.0)) - par * par, F.lit(0.0)))
+    inside = F.col("perp2") < r_in * r_in
+    middle = inside & (F.col("s") / F.col("len")).between(*window)
+    length, share = F.first("len"), window[1] - window[0]
+    out = rows.withColumn("across", across).groupBy("fil").agg(
+        F.count("*").alias("n"), F.count_if(inside).alias("n_in"), (mpart * F.count_if(inside) / length).alias("mu_in"), *(F.first(f"b{c}").alias(f"b{c}") for c in AXES),
+        F.coalesce(F.stddev_samp("across"), F.lit(0.0)).alias("sigma"), F.count_if(middle).alias("n_mid"), (F.count_if(middle) / (math.pi * r_in * r_in * share * length)).alias("mid"),
+    )
+    return out
+
+
+def ratio_profile(data: DataFrame, rand: DataFrame, edges: Sequence[float], density: float) -> DataFrame:
+    """(fil, iy, dens, pieces): particles over random points, times the random points' density, in each ring
+    of each piece (both sides rows of nearest_piece()); averaged over the pieces that have random points
+    in every ring."""
+    count = lambda df, n: df.withColumn("iy", ring(F.col("perp2"), edges)).where("iy >= 0").groupBy("fil", "k", "iy").agg(F.count("*").alias(n))
+    r = count(rand, "n_rand")
+    full = r.groupBy("fil", "k").agg(F.count("*").alias("rings")).where(F.col("rings") == len(edges)).select("fil", "k")
+    cells = r.join(full, ["fil", "k"]).join(count(data, "n_data"), ["fil", "k", "iy"], "left")
+    return cells.groupBy("fil", "iy").agg(F.avg(F.coalesce("n_data", F.lit(0)) / F.col("n_rand") * density).alias("dens"), F.count("*").alias("pieces"))
+
+
+def direction_matrix(points: DataFrame, rays: DataFrame, r: float, longest: float, edges: Sequence[float], nx: int, nrand: int, box: float) -> DataFrame:
+    """(side, ix, iy, n): particles along rays (side, x, y, z, ex, ey, ez unit, d length <= longest), averaged
+    over nrand copies; side null holds both fixings, whose sums are added before the division."""
+    near = range_join(points.select("id", *AXES), rays.select("side", *AXES, "ex", "ey", "ez", "d"), longest + r, box)
+    d = {c: minimum_image(F.col(f"p_{c}") - F.col(f"c_{c}"), box) for c in AXES}
+    along = sum((d[c] * F.col(f"c_e{c}") for c in AXES), F.lit(0.0))
+    rows = near.withColumn("along", along).withColumn("perp2", F.greatest(F.col("d2") - F.col("along") * F.col("along"), F.lit(0.0))).where("along >= 0 and along < c_d")
+    rows = rows.withColumn("iy", ring(F.col("perp2"), edges)).where("iy >= 0").withColumn("ix", F.floor(F.col("along") / F.col("c_d") * nx).cast("int")).withColumnRenamed("c_side", "side")
+    return rows.groupingSets([[F.col("side"), F.col("ix"), F.col("iy")], [F.col("ix"), F.col("iy")]], "side", "ix", "iy").agg((F.count("*") / nrand).alias("n"))
+
+
+def slices(nodes: DataFrame, box: float, bins: int, extended: bool = False) -> DataFrame:
+    """(fil, i, x, y, z, ux, uy, uz, half): slices at equal arc lengths, each with its direction (towards the
+    next slice; the last one's from the one before) and half its thickness. Extended: bins // 2 more before
+    the first and after the last, on the end directions."""
+    pts = resampled(nodes, box, bins)
+    w = Window.partitionBy("fil").orderBy("i")
+    step = {c: F.coalesce(F.lead(c).over(w) - F.col(c), F.col(c) - F.lag(c).over(w)) for c in AXES}
+    out = pts.select("fil", "i", *AXES, *(v.alias(f"e{c}") for c, v in step.items()), F.lead("at").over(w).alias("nxt"), "at", F.lag("at").over(w).alias("prv"))
+    out = out.withColumn("rsep", F.coalesce(F.col("nxt") - F.col("at"), F.col("at") - F.col("prv"))).withColumn("d", F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey") + F.col("ez") * F.col("ez"))).where("d > 0")
+    out = out.select("fil", "i", *AXES, *((F.col(f"e{c}") / F.col("d")).alias(f"u{c}") for c in AXES), "rsep")
+    if extended:
+        ends = out.where((F.col("i") == 0) | (F.col("i") == bins - 1)).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(max(1, bins // 2)))))
+        sign = F.when(F.col("i") == 0, -F.col("j")).otherwise(F.col("j"))
+        out = ends.select("fil", (F.col("i") + sign).alias("i"), *((F.col(c) + sign * F.col("rsep") * F.col(f"u{c}")).alias(c) for c in AXES), *(f"u{c}" for c in AXES), "rsep")
+    return out.select("fil", "i", *(F.pmod(F.col(c), F.lit(float(box))).alias(c) for c in AXES), *(f"u{c}" for c in AXES), (F.col("rsep") / 2).alias("half"))
+
+
+def slice_profile(points: DataFrame, cut: DataFrame, edges: Sequence[float], longest: float, box: float, cumulative: bool = False, gate: int = 10) -> DataFrame:
+    """(i, iy, n, vpar, spar): particles in every slice they fall in (not exclusive), hollow rings or, if
+    cumulative, all rings inside; deviations where n > gate. `longest` bounds half a slice's thickness;
+    longer slices are rejected by the caller."""
+    reach = math.sqrt(edges[0] + longest**2)
+    near = range_join(points, cut, reach, box)
+    d = {c: minimum_image(F.col(f"p_{c}") - F.col(f"c_{c}"), box) for c in AXES}
+    along = sum((d[c] * F.col(f"c_u{c}") for c in AXES), F.lit(0.0))
+    rows = near.withColumn("along", along).where(F.abs("along") < F.col("c_half")).withColumn("iy", ring(F.greatest(F.col("d2") - F.col("along") * F.col("along"), F.lit(0.0)), edges)).where("iy >= 0")
+    rows = rows.select(F.col("c_i").alias("i"), "iy", sum((F.col(f"p_v{c}") * F.col(f"c_u{c}") for c in AXES), F.lit(0.0)).alias("v"))
+    if cumulative:
+        rows = rows.withColumn("iy", F.explode(F.sequence(F.lit(0), F.col("iy"))))
+    return rows.groupBy("i", "iy").agg(F.count("*").alias("n"), F.avg("v").alias("vpar"), F.when(F.count("*") > gate, F.stddev_samp("v")).otherwise(0.0).alias("spar"))
+
+
 def densified(matrix: DataFrame, nx: int, ny: int, keys: Sequence[str] = ("fil",)) -> DataFrame:
     """Every bin of every key, zeros where nothing is (a bounded grid for each key, no cross join)."""
     grid = matrix.select(*keys).distinct().withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(nx - 1)))).withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))))
@@ -77,9 +151,10 @@ def shell_profile(points: DataFrame, centres: DataFrame, edges: Sequence[float],
     return shells.withColumn("n_in", F.sum("n").over(inside))
 
 
-def tube_mass(points: DataFrame, nodes: DataFrame, r: float, r_end: float, box: float, mpart: float = 1.0) -> DataFrame:
+def tube_mass(points: DataFrame, nodes: DataFrame, r: float, r_end: float, box: float, mpart: float = 1.0, guard: bool = True) -> DataFrame:
     """(fil, mass, mu): particles within r (inclusive) of a node but the last and outside both end
-    spheres count once; mu = mass / (length - 2 r_end), 0 where that is not positive."""
+    spheres count once; mu = mass / (length - 2 r_end), 0 where that is not positive (without `guard`
+    negative there, null at zero)."""
     last = Window.partitionBy("fil")
     inner = nodes.withColumn("last", F.max("k").over(last)).where("k < last")
     near = range_join(points.select("id", *AXES), inner.select("fil", *AXES), r, box, inclusive=True).select(F.col("p_id").alias("id"), F.col("c_fil").alias("fil")).distinct()
@@ -88,7 +163,7 @@ def tube_mass(points: DataFrame, nodes: DataFrame, r: float, r_end: float, box:
     far = lambda e: sum((minimum_image(F.col(c) - F.col(f"{e}{c}"), box) * minimum_image(F.col(c) - F.col(f"{e}{c}"), box) for c in AXES), F.lit(0))
     rows = rows.where((far("a") > r_end * r_end) & (far("b") > r_end * r_end))
     room = F.first("len") - 2 * r_end
-    return rows.groupBy("fil").agg((mpart * F.count("*")).alias("mass"), F.when(room > 0, mpart * F.count("*") / room).otherwise(0.0).alias("mu"))
+    return rows.groupBy("fil").agg((mpart * F.count("*")).alias("mass"), (F.when(room > 0, mpart * F.count("*") / room).otherwise(0.0) if guard else F.try_divide(mpart * F.count("*"), room)).alias("mu"))
 
 
 def transverse_profile(points: DataFrame, nodes: DataFrame, edges: Sequence[float], box: float) -> DataFrame:

@@ -28,14 +28,19 @@ def with_cell(df: DataFrame, n: int, box: float) -> DataFrame:
 def with_near_cells(df: DataFrame, n: int, box: float, reach: int = 1) -> DataFrame:
     """A row for each distinct cell within `reach` cells."""
     axis = [cell_of(F.col(c), box, n) for c in AXES]
-    offsets = itertools.product(range(-min(reach, n), min(reach, n) + 1), repeat=3)
-    keys = [cell_key(n, *(F.pmod(a + F.lit(o), F.lit(n)) for a, o in zip(axis, off, strict=True))) for off in offsets]
+    around = itertools.product(range(-min(reach, n), min(reach, n) + 1), repeat=3)
+    keys = [cell_key(n, *(F.pmod(a + F.lit(o), F.lit(n)) for a, o in zip(axis, off, strict=True))) for off in around]
     return df.withColumn("cell", F.explode(F.array_distinct(F.array(*keys))))
 
 
+def offsets(a: str, b: str, box: float) -> list[Column]:
+    """Minimum-image differences b - a of prefixed columns."""
+    return [minimum_image(F.col(f"{b}{c}") - F.col(f"{a}{c}"), box) for c in AXES]
+
+
 def distance2(a: str, b: str, box: float) -> Column:
     """Squared minimum-image distance of prefixed columns; integers stay integers."""
-    d = [minimum_image(F.col(f"{b}{c}") - F.col(f"{a}{c}"), box) for c in AXES]
+    d = offsets(a, b, box)
     return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
 
 
@@ -43,14 +48,23 @@ def prefixed(df: DataFrame, p: str, keep: str = "cell") -> DataFrame:
     return df.select(*(F.col(c) if c == keep else F.col(c).alias(f"{p}{c}") for c in df.columns))
 
 
-def range_join(points: DataFrame, centres: DataFrame, r: float, box: float, inclusive: bool = False, p: str = "p_", c: str = "c_") -> DataFrame:
-    """All (point, centre) with d2 < r**2 (<= if inclusive); columns prefixed, plus d2. The centres are exploded."""
-    n = cells_per_side(r, box)
-    both = prefixed(with_cell(points, n, box), p).join(prefixed(with_near_cells(centres, n, box), c), "cell").drop("cell")
+def range_join(points: DataFrame, centres: DataFrame, r: float, box: float, inclusive: bool = False, p: str = "p_", c: str = "c_", reach: int = 1) -> DataFrame:
+    """All (point, centre) with d2 < r**2 (<= if inclusive); columns prefixed, plus d2. The centres are
+    exploded to `reach` cells of side r / reach on each side: more, smaller cells for dense points."""
+    n = cells_per_side(r / reach, box)
+    reach = max(reach, math.ceil(r * n / box))
+    both = prefixed(with_cell(points, n, box), p).join(prefixed(with_near_cells(centres, n, box, reach), c), "cell").drop("cell")
     both = both.withColumn("d2", distance2(c, p, box))
     return both.where(F.col("d2") <= r * r if inclusive else F.col("d2") < r * r)
 
 
+def cell_candidates(points: DataFrame, centres: DataFrame, r: float, box: float, key: str) -> DataFrame:
+    """Distinct (id, key) of points in the cells around a centre's, whatever their distance."""
+    n = cells_per_side(r, box)
+    near = with_near_cells(centres.select(key, *AXES), n, box).select(key, "cell").distinct()
+    return with_cell(points, n, box).select("id", "cell").join(near, "cell").select("id", key).distinct()
+
+
 def range_self_join(points: DataFrame, r: float, box: float) -> DataFrame:
     """Pairs (a, b, d2) with a < b and d2 < r**2, each once."""
     few = points.select("id", *AXES)

@@ -327,9 +327,9 @@ def topk3_nearest_within(spark, d):
 
 # -- controls and stacking ---------------------------------------------------------------------------
 def uniform_sql(*keys: str) -> str:
-    h = "12345"
-    for k in keys:
-        h = f"((({h})*7919 + ((({k}) % 1000003)*104729) + 1) % 1000003)"
+    h = "12345::BIGINT"
+    for k in (*keys, "0", "0"):
+        h = f"((({h})*(({h})+7919) + ((({k}) % 1000003)*104729) + 1) % 1000003)"
     return f"({h}/1000003.0::DOUBLE)"
 
 
@@ -366,3 +366,6 @@ def ag28_length_statistics(spark, d):
 @query(f"WITH {PROPS_SQL}, b AS (SELECT CAST(floor((len-0.5)/150*15) AS INTEGER) AS bin FROM props) SELECT bin, count(*) AS n FROM b WHERE bin >= 0 AND bin < 15 GROUP BY bin")
 def ag33_histogram(spark, d):
     return stacking.histogram(polyline.properties(fx.nodes(spark, d), BOX), "len", 0.5, 150.5, 15)
+
+
+from . import filaments  # noqa: E402,F401  registers its queries
