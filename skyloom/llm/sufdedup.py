@@ -9,7 +9,7 @@ only suffixes smaller than their successors, induces the rest by scanning the bu
 bytes, and adjacent common prefixes of `length` bytes mark repeated windows.
 
 A key with more than HOT different fragments is dealt anew by the smallest hash among longer grams,
-at last of whole windows, where all copies collapse; so no task ever holds an unbounded group and
+at last of whole windows, which are only counted; so no task ever holds an unbounded group and
 none is cut short. Fragments are written in the shared folder only while they are needed.
 
 Nulls: a null text is empty. Rows with null or repeated ids are told apart by their text; rows that
@@ -277,6 +277,11 @@ def _refined(hot: DataFrame, length: int, level: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take), pa.array(lo.astype(np.int32)), pa.array(key), pa.array(code), pa.array(n.astype(np.int32)), pa.array(again), pa.array(data, pa.binary())], ["key0", "code0", "many", "lo", "key", "code", "n", "repeats", "data"])
 
     pieces = written(hot.select("key", "code", "n", "many", "data").mapInArrow(run, "key0 bigint, code0 bigint, many bigint, lo int, key bigint, code bigint, n int, repeats boolean, data binary"), "pieces")
+    if level >= len(GRAMS) - 1:  # a piece is n equal windows: its windows count, in runs of whatever length
+        pieces = pieces.withColumn("code", F.xxhash64(F.substring("data", 1, length)))
+        again = pieces.groupBy("key", "code").agg(F.sum(F.col("many") * F.col("n")).alias("windows")).where("windows > 1")
+        whole = F.struct(F.col("lo"), (F.col("lo") + F.col("n")).alias("hi"))
+        return pieces.join(again, ["key", "code"]).groupBy(F.col("key0").alias("key"), F.col("code0").alias("code")).agg(F.collect_list(whole).alias("spans"))
     classes = pieces.groupBy("key", "code").agg(F.sum("many").alias("many"), F.max("repeats").alias("repeats"), F.first("n").alias("n"), F.first("data").alias("data"))
     grouped = written(_groups(classes), "refined")
     spans = _spans(grouped, grouped, length, level)
@@ -288,8 +293,6 @@ def _refined(hot: DataFrame, length: int, level: int) -> DataFrame:
 def _spans(grouped: DataFrame, with_data: DataFrame, length: int, level: int) -> DataFrame:
     """(key, code, spans) of repeated windows, from classes and from those that need sorting, with data."""
     copies = grouped.where("many > 1").select("key", "code", _every().alias("spans"))
-    if level >= len(GRAMS) - 1:
-        return copies  # fragments of equal windows
     single = with_data.where("many = 1 and (kinds > 1 or again)")
     others = with_data.where("many > 1 and kinds > 1")
     need = single.unionByName(others)

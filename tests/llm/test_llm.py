@@ -150,6 +150,18 @@ def test_suffix_dedup_hot(spark, monkeypatch):
     assert got == want
 
 
+def test_suffix_dedup_hot_runs(spark, monkeypatch):
+    """Hot at all levels: one-byte runs, each of its own length."""
+    monkeypatch.setattr(sufdedup, "HOT", 4)
+    random.seed(5)
+    noise = lambda: "".join(random.choice("klmnop ") for _ in range(random.randint(1, 90)))
+    rows = [(i, noise() + "-" * (200 + i) + noise()) for i in range(30)] + [(30, "=" * 200 + noise()), (31, noise() + "-" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = dict(zip([r[0] for r in rows], brute_repeats([r[1].encode() for r in rows], 200), strict=True))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sufdedup.remove_repeats(df).collect()}
+    assert got == want
+
+
 def test_suffix_dedup_odd(spark, odd, empty):
     rows = sufdedup.remove_repeats(odd).collect()
     assert len(rows) == odd.count()
