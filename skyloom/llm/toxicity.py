@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text; a window that the
-toxic dictionary compresses better than the ordinary one speaks for toxicity. Toxic training
-samples are the surroundings of words that are far more frequent in toxic than in ordinary
-training texts, since most of a toxic document is ordinary text; both dictionaries also share the
-same ordinary samples, so they differ by what is toxic. A text's best window, the mean of its three
+toxic dictionary compresses better than the ordinary one speaks for toxicity. The toxic
+dictionary is trained on windows of toxic texts, in two parts, since most of a toxic document is
+ordinary text: words that are far more frequent in toxic than in ordinary training texts, as they
+stand there with AROUND bytes on both sides, and all the other text, which holds short and rare
+words, phrases and scripts without spaces. Both dictionaries also share the same ordinary
+samples, so they differ by what is toxic. A text's best window, the mean of its three
 best and the share of windows beyond a threshold are calibrated by logistic regression.
 
 Before compression each byte becomes two, drawn from a fixed table (letters in lower case), and the
@@ -19,6 +21,7 @@ null labels are not learnt from; if one class is missing, every score is 0.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +35,7 @@ WINDOW = 64
 PER_CLASS = 2000
 PLACES = 6000  # characters of a training text, from a hashed place on
 DICT = 24576
+AROUND = 2  # bytes before and after a marked word that go with it
 MATCH, STRATEGY = 7, 4  # zstandard's lazy search, whose matches hang little on how its tables were filled
 
 _CODE = np.random.Generator(np.random.PCG64(11)).permuted(np.tile(np.arange(256, dtype=np.uint8), (2, 1)), axis=1).T[[*range(65), *range(97, 123), *range(91, 256)]].copy()
@@ -129,6 +133,22 @@ def stems(parts: list[bytes], labels: np.ndarray) -> list[tuple[bytes, int]]:
     return out[:200]
 
 
+def toxic_windows(parts: list[bytes], marked: list[tuple[bytes, int]], rng: np.random.Generator) -> tuple[list[bytes], list[bytes]]:
+    """Windows of toxic texts: the surroundings of their marked words, and the text outside of them."""
+    find = re.compile(rb"(?<![a-z])(?:" + b"|".join(re.escape(w) for w, _ in marked) + rb")[a-z]*") if marked else None
+    near, others = [], []
+    for x in parts:
+        at = 0
+        for m in find.finditer(x.lower()) if find else ():
+            a, b = max(at, m.start() - AROUND), m.end() + AROUND
+            near.append(x[a:b])
+            others += [x[i : min(i + 256, a)] for i in range(at, a, 256)]
+            at = max(at, b)
+        others += [x[i : i + 256] for i in range(at, len(x), 256)]
+    near, others = ([v[i] for i in rng.permutation(len(v))[:6000]] for v in (near, others))
+    return near, others
+
+
 def fit(parts: list[bytes], labels: np.ndarray) -> CompressionClassifier | None:
     if len(set(labels.tolist())) < 2:
         return None
@@ -139,14 +159,13 @@ def fit(parts: list[bytes], labels: np.ndarray) -> CompressionClassifier | None:
     marked = stems([x for x, use in zip(parts, half.tolist(), strict=True) if use], labels[half])
     ordinary = [x[i : i + 256] for x, y, use in zip(parts, labels.tolist(), half.tolist(), strict=True) if use and y == 0 for i in range(0, len(x), 256)]
     ordinary = [ordinary[i] for i in rng.permutation(len(ordinary))[:6000]]
-    toxic = [b" " + w for w, many in marked for _ in range(many)]
-    if not toxic:  # no word stands out: whole windows
-        toxic = [x[i : i + 256] for x, y, use in zip(parts, labels.tolist(), half.tolist(), strict=True) if use and y == 1 for i in range(0, len(x), 256)]
+    near, others = toxic_windows([x for x, y, use in zip(parts, labels.tolist(), half.tolist(), strict=True) if use and y == 1], marked, rng)
     shared = _dictionary([expanded(x) for x in ordinary], DICT)
-    toxic = [expanded(x) for x in toxic]
-    forms = Counter(toxic)
-    common = b"".join(w for w, _ in reversed(forms.most_common(400)))[-DICT // 4 :]
-    model = CompressionClassifier(shared, _dictionary(toxic * (1 + 2000 // len(toxic)), 4096) + common + shared, 0.0, np.zeros(8))
+    content = b""
+    for samples, size in ((others, DICT // 8), (near, DICT // 4)):
+        wide = [expanded(x) for x in samples]
+        content += _dictionary(wide * (1 + 2000 // len(wide)), size) if wide else b""
+    model = CompressionClassifier(shared, content + shared, 0.0, np.zeros(8))
     model.open()
     use = ~half if not half.all() else half
     pick = np.flatnonzero(use)

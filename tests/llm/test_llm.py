@@ -245,6 +245,28 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(empty, toxicity.train(empty.selectExpr("doc_id", "text", "1 as toxic"))).count() == 0
 
 
+def test_toxicity_phrases():
+    """Half of the toxic texts hold a marked word, the others only a phrase of short words."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    plain = lambda: rng.choices(words, k=120)
+
+    def toxic(mark):
+        x = plain()
+        for i in (20, 50, 80):
+            x[i] = mark
+        return " ".join(x).encode()
+
+    word, phrase = "vrakulent", "go up to my ox we do it so be at an ax"
+    parts = [" ".join(plain()).encode() for _ in range(300)] + [toxic(m) for _ in range(150) for m in (word, phrase)]
+    model = toxicity.fit(parts, np.array([0] * 300 + [1] * 300))
+    model.open()
+    clean = model.scores([" ".join(plain()).encode() for _ in range(100)])
+    for mark in (word, phrase):
+        found = model.scores([toxic(mark) for _ in range(100)])
+        assert (found >= 0.5).mean() > 0.9 and (clean < 0.5).mean() > 0.9
+
+
 def test_quality(spark, odd, empty):
     sf = "/root/testdata/sf0.1"
     out = queries.op6_quality(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
