@@ -4,7 +4,8 @@ The payload (the text's bytes, padded with 255 to a positive multiple of BLOCK)
 unsigned 8-bit mono samples by the wave module and read back by it; equal payloads give equal files.
 A short-time Fourier transform (Hann window, frames of BLOCK samples, half overlapping) gives the
 strongest peak of each of five bands in each frame; a peak that stands out in its frame is paired
-with the peaks of the next FAN frames. A fingerprint is f1 << 28 | f2 << 16 | dt with the anchor's
+with the peaks of the next FAN frames. A payload of one block gets half a frame of silence on both
+sides for this, so that it has three frames and pairs too. A fingerprint is f1 << 28 | f2 << 16 | dt with the anchor's
 frame in the upper 24 bits: a time-coded array. Frames are handled in blocks, so memory does not
 grow with a text beyond its own bytes and fingerprints.
 
@@ -69,6 +70,8 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprints(samples: np.ndarray) -> np.ndarray:
     """Sorted 64-bit time-coded fingerprints: anchor frame << 40 | f1 << 28 | f2 << 16 | frames between."""
+    if len(samples) <= BLOCK:
+        samples = np.pad(samples, BLOCK // 2, constant_values=128)
     bins, loud = peaks(samples)
     out = [np.zeros(0, np.int64)]
     for dt in range(1, FAN + 1):

@@ -294,6 +294,15 @@ def test_media(docs, odd, empty):
     assert {int(m) >> 28 & 0xFFF for m in marks} == {50}
 
 
+def test_media_one_block(spark):
+    """Texts of one block have fingerprints, and different ones."""
+    random.seed(4)
+    rows = [(i, " ".join("".join(random.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))) for i, n in enumerate((1, 5, 20, 50, 80, 95))]
+    out = media.media_columns(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r.payload_bytes == 576 and r.fingerprints for r in out)
+    assert len({r.feature for r in out}) > 3
+
+
 def test_license(docs, odd, empty):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
