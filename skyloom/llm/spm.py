@@ -25,7 +25,6 @@ from .common import crc, joined, mix, powers, prefix_hash, slices, span_hash, te
 
 CHUNK = 192
 THETA = 1.5
-LONGEST = 32  # bytes of a piece
 META = "▁".encode()
 _ODD = b"\xff\xfe\xfd"  # stands for a U+2581 of the text, which no piece matches
 BATCH_BYTES = 4 << 20
@@ -44,7 +43,7 @@ class Lattice:
             if model.is_byte(i):
                 self.byte_id[int(name[3:5], 16)] = i
                 self.bytes_of[i] = bytes([int(name[3:5], 16)])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and len(name.encode()) <= LONGEST:
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.bytes_of[i] = name.replace("▁", " ").encode()
                 names.append(name.encode())
                 ids.append(i)

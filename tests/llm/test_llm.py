@@ -360,6 +360,16 @@ def test_pieces_distribution():
     assert all(abs(got[p] / n - w / total) < 0.015 for p, w in paths.items())
 
 
+def test_pieces_longest():
+    """Every piece of the model is in the lattice, also those of over 32 bytes."""
+    import sentencepiece
+
+    path = queries.vocabulary(queries.PIECES)
+    model, lattice = sentencepiece.SentencePieceProcessor(model_file=path), spm.Lattice(path)
+    plain = [i for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    assert set(lattice.ids.tolist()) == set(plain) and max(lattice.lengths) == max(len(model.id_to_piece(i).encode()) for i in plain) > 32
+
+
 def test_top_k(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = table.collect()
