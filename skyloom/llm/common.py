@@ -7,8 +7,10 @@ their own output row, and an empty table gives an empty result with the same sch
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,20 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def released(run: Callable) -> Callable:
+    """A worker lives on after its task: what the task's arrays took goes back to the system."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of at most `most` bytes in `column` (one row at least)."""
     for batch in batches:
@@ -87,7 +103,7 @@ def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
         while filled < size:  # doubling: have[filled:2*filled] = have[:filled] * base**filled
             have[filled : 2 * filled] = have[:filled] * np.uint64(step)
             step, filled = step * step % (1 << 64), 2 * filled
-        if size <= 1 << 24:
+        if size <= 1 << 20:
             _POWERS[which, inverse] = have
     return have[:n]
 
@@ -141,6 +157,45 @@ def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
+# -- bounded training samples ---------------------------------------------------------------------
+MOST_CLASSES = 256  # labels that are learnt: the commonest
+
+
+def draw(labels: DataFrame, docs: DataFrame, per_class: int, most_bytes: int, id_col: str, label_col: str, text_col: str, rest: int | None = None) -> DataFrame | None:
+    """(y, doc_id, text): a sample of docs with their labels, bounded by per_class rows and most_bytes
+    bytes of text a class, in the order of a hash of the id; a text beyond most_bytes is left out.
+    Texts are whole. With `rest`, documents without label are the class `rest`.
+
+    Only ids, labels and sizes are joined and dealt out; the driver gets about 1.3 * per_class ids a
+    class, and the texts come by one scan with these ids. Rows without id, text or (but for rest) label
+    are not learnt from; an id with several labels counts with the largest, one with several texts
+    with the one of the smallest hash. None if nothing is left.
+    """
+    size = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(F.max(F.octet_length(text_col)).alias("bytes"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(F.max(label_col).alias("y"))
+    known = size.join(known, "doc_id", "inner" if rest is None else "left")
+    known = known if rest is None else known.withColumn("y", F.coalesce("y", F.lit(rest)))
+    known = written(known.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))).where(F.col("bytes") <= most_bytes), "known")
+    count = known.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(MOST_CLASSES).collect()
+    if not count:
+        return None
+    near = F.lit(False)
+    for r in count:
+        near |= (F.col("y") == r["y"]) & (F.col("h") < min(1 << 30, int((1.2 * per_class + 100) / r["n"] * (1 << 30)) + 1))
+    taken: dict[object, list[int]] = {r["y"]: [0, 0] for r in count}
+    chosen = []
+    for r in sorted(known.where(near).select("y", "h", "doc_id", "bytes").collect(), key=lambda r: (r["h"], r["doc_id"])):
+        have = taken[r["y"]]
+        if have[0] < per_class and have[1] + r["bytes"] <= most_bytes:
+            taken[r["y"]] = [have[0] + 1, have[1] + r["bytes"]]
+            chosen.append((r["y"], r["doc_id"]))
+    few = docs.sparkSession.createDataFrame(chosen, known.select("y", F.col("doc_id").alias("__id")).schema)
+    forget(known)
+    # at most per_class * MOST_CLASSES ids: a proven bound
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(few), "__id")
+    return rows.groupBy("y", F.col("__id").alias("doc_id")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 # -- packed texts for shuffles --------------------------------------------------------------------
 def packed(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with the text as zstandard bytes, so that shuffles move about a third."""

@@ -2,12 +2,15 @@
 
 Bytes are embedded, convolved with filters of several widths, max-pooled over a window of fixed
 length and classified by a softmax layer; a text's score is the mean over its windows. Training
-uses windows at random places of a bounded sample of labelled rows (PER_CLASS rows a language).
+uses all windows of the whole texts of a bounded sample of labelled rows (PER_CLASS rows and
+CLASS_BYTES bytes a language; see common.draw), texts in equal shares.
 At inference an embedding and its filter are one table row per (offset, byte), so a batch of
 windows is a few table look-ups, a maximum and a small product.
 
 Nulls: a text that is null or has no letter is `und` with score 0. Rows with a null language or text
-are not learnt from. If no language can be learnt at all, every text is `und`.
+are not learnt from. If no language can be learnt at all, every text is `und`. Very long texts are
+scored over all their windows, 64 at a time. Ties between languages go to the first in order.
+Repeated rows get equal results, each its own row; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import draw, released, slices, texts
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
 PER_CLASS = 800  # the bound of the training sample, rows a language
+CLASS_BYTES = 16 << 20
 STEPS, BATCH = 400, 128
 
 
@@ -58,9 +64,11 @@ def as_windows(parts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.n
     return np.frombuffer(data, np.uint8).reshape(-1, size), count
 
 
-def fit(windows: np.ndarray, labels: np.ndarray, classes: list[str], seed: int = 5) -> ByteConvNet:
-    """Adam on the cross-entropy; windows (n, WINDOW) of bytes, labels as indices of classes."""
+def fit(windows: np.ndarray, labels: np.ndarray, classes: list[str], share: np.ndarray, seed: int = 5) -> ByteConvNet:
+    """Adam on the cross-entropy; windows (n, WINDOW) of bytes, labels as indices of classes, share:
+    each window's weight in the draws."""
     rng = np.random.default_rng(seed)
+    until = np.cumsum(share) / share.sum()
     most, n_out, n_filters = max(WIDTHS), len(classes), FILTERS * len(WIDTHS)
     mask = np.zeros((most, EMBED, n_filters), np.float32)
     for i, w in enumerate(WIDTHS):
@@ -70,7 +78,7 @@ def fit(windows: np.ndarray, labels: np.ndarray, classes: list[str], seed: int =
     one, two = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par]
     length = WINDOW - most + 1
     for step in range(1, STEPS + 1):
-        pick = rng.integers(0, len(windows), BATCH)
+        pick = np.minimum(np.searchsorted(until, rng.random(BATCH), "right"), len(windows) - 1)
         x, y = windows[pick], labels[pick]
         embed, kernel, bias, out, shift = par
         e = embed[x]
@@ -102,21 +110,16 @@ def fit(windows: np.ndarray, labels: np.ndarray, classes: list[str], seed: int =
     return ByteConvNet(classes, np.ascontiguousarray(tables), bias.astype(np.float32), out, shift)
 
 
-def train(rows: DataFrame, text_col: str = "text", label_col: str = "lang", order_col: str = "doc_id", per_class: int = PER_CLASS) -> ByteConvNet | None:
-    """Learn from rows of rows; a window at a hashed place of per_class texts of each label is the
-    bounded sample that comes to the driver."""
-    known = rows.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    spread = F.pmod(F.xxhash64(F.col(order_col), F.lit("place")), F.greatest(F.length(text_col) - WINDOW, F.lit(0)) + 1)
-    known = known.select(F.col(label_col).cast("string").alias("y"), F.xxhash64(order_col).alias("h"), F.substring(text_col, (spread + 1).cast("int"), F.lit(WINDOW)).alias("x"))
-    sample = []
-    for kind in known.select("y").distinct().collect():  # a top-k each: no task gets more than that
-        sample += known.where(F.col("y") == kind["y"]).orderBy("h", "x").limit(per_class).select("y", "x").collect()
-    sample = sorted((r["y"], r["x"]) for r in sample)
-    classes = sorted({y for y, _ in sample})
-    if not classes:
+def train(rows: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_class: int = PER_CLASS) -> ByteConvNet | None:
+    """Learn from a bounded sample of rows (common.draw); texts without letters are not learnt from."""
+    known = rows.where(F.col(text_col).rlike(r"\p{L}"))
+    some = draw(known.withColumn(label_col, F.col(label_col).cast("string")), known, per_class, CLASS_BYTES, id_col, label_col, text_col)
+    if some is None:
         return None
-    windows = np.frombuffer(b"".join(x.encode()[:WINDOW].ljust(WINDOW, b"\0") for _, x in sample), np.uint8).reshape(-1, WINDOW)
-    return fit(windows, np.array([classes.index(y) for y, _ in sample]), classes)
+    sample = sorted((r["y"], r["doc_id"], r["text"].encode()) for r in some.collect())
+    classes = sorted({y for y, _, _ in sample})
+    windows, count = as_windows([x for _, _, x in sample])
+    return fit(windows, np.repeat([classes.index(y) for y, _, _ in sample], count), classes, np.repeat(1 / count, count))
 
 
 def identify(docs: DataFrame, model: ByteConvNet | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
@@ -126,9 +129,8 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text_col: str = "text",
     share = docs.sparkSession.sparkContext.broadcast(model)
     names = [f.name for f in schema.fields]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import slices, texts
-
         net = share.value
         for batch in slices(batches, text_col):
             letters = np.array(batch.column(batch.num_columns - 1).to_pylist(), bool)

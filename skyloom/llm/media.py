@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, slices, texts
+from .common import id_text, released, slices, texts
 
 BLOCK = 576
 RATE = 8000
@@ -84,10 +84,10 @@ def fingerprints(samples: np.ndarray) -> np.ndarray:
 SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, media binary, fingerprints array<bigint>"
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
-    """SCHEMA for every row; with keep=False `media` and `fingerprints` are null, which saves their
-    transport. `feature` is the number of fingerprints and a digest of them all."""
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
+    """SCHEMA for every row; with keep_media=False `media` is null, which saves its transport. `feature` is the number of fingerprints and a digest of them all."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int64())]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -97,7 +97,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 stored = to_wav(payload(text))
                 back = from_wav(stored)
                 marks = fingerprints(np.frombuffer(back, np.uint8))
-                row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{len(marks)}:{hashlib.blake2b(marks.tobytes(), digest_size=16).hexdigest()}", stored if keep else None, marks if keep else None)
+                row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{len(marks)}:{hashlib.blake2b(marks.tobytes(), digest_size=16).hexdigest()}", stored if keep_media else None, marks)
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names)

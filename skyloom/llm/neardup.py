@@ -16,7 +16,9 @@ With 288 registers in 48 bands of 6 a pair at similarity 0.75 is missed with pro
 
 Nulls: a text that is null or has no word has an empty set (n_shingles 0) and is linked with
 nothing. Rows with a null id are linked with nothing and kept. Rows that repeat an id count as
-one document, linked with what any of them is linked with. Very long texts are hashed in slices.
+one document, linked with what any of them is linked with: their classes are linked with one another.
+Texts are taken some SLICE_BYTES at a time; a longer one is hashed whole, at some 60 times its bytes
+of one task's memory. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, components, forget, id_text, mix, packed, slices, text_words, texts, written
+from .common import SPACE, components, forget, id_text, mix, packed, released, slices, text_words, texts, written
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 48, 6
@@ -93,6 +95,7 @@ def joint_estimate(na: np.ndarray, nb: np.ndarray, more: np.ndarray, less: np.nd
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n, skey, regs): the set's size and 128-bit key, and its registers as bytes."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             n, key, regs = [], [], []
@@ -108,6 +111,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 def _band_rows(reps: DataFrame) -> DataFrame:
     """(key, id) for every band of every class."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = _ORDER[np.arange(ROWS) % SHINGLE] * (np.arange(ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
         for batch in batches:
@@ -128,6 +132,7 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for i in range(0, big.num_rows, 2000):
@@ -151,11 +156,12 @@ def _confirmed(pairs: DataFrame, zipped: DataFrame, reps: DataFrame, size: int,
     want = want.join(reps.select("id", "skey"), "id").join(zipped.withColumnRenamed("doc_id", "id"), "id")
     want = want.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "salt", "role", "id", "skey", "z")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         tool = zstandard.ZstdDecompressor()
-        at, leader = None, None
+        at, leaders = None, []  # texts of one id, if its rows differ
         for batch in slices(batches, "z", 1 << 20):
             a, salt, role, ids, key = (batch.column(k).to_pylist() for k in range(5))
             out: tuple[list, list] = ([], [])
@@ -163,12 +169,13 @@ def _confirmed(pairs: DataFrame, zipped: DataFrame, reps: DataFrame, size: int,
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() != key[k]:
                     continue  # another row with this id
                 if role[k] == 0:
-                    at, leader = (a[k], salt[k]), s
+                    at, leaders = (a[k], salt[k]), [*(leaders if at == (a[k], salt[k]) else []), s]
                 elif at == (a[k], salt[k]):
-                    both = len(np.intersect1d(leader, s, assume_unique=True))
-                    if 100 * both >= percent * (len(leader) + len(s) - both):
-                        out[0].append(a[k])
-                        out[1].append(ids[k])
+                    for leader in leaders:
+                        both = len(np.intersect1d(leader, s, assume_unique=True))
+                        if 100 * both >= percent * (len(leader) + len(s) - both):
+                            out[0].append(a[k])
+                            out[1].append(ids[k])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
     return written(want.mapInArrow(run, "a bigint, b bigint"), name)
@@ -185,6 +192,7 @@ def _unsettled(members: DataFrame, zipped: DataFrame, reps: DataFrame, size: int
     dealt = dealt.join(reps.select("id", "n", "regs", "skey"), "id").join(zipped.withColumnRenamed("doc_id", "id"), "id")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "id", "root", "mine", "n", "regs", "skey", "z")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -253,25 +261,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id, kept): one row for each row of docs."""
     plain = id_text(docs, id_col, text_col)
     sketch = written(sketches(plain, size), "sketch")
-    classes = sketch.where("skey is not null and doc_id is not null").groupBy("skey").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    named = sketch.where("skey is not null and doc_id is not null")
+    classes = named.groupBy("skey").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     reps = written(classes, "reps")
     zipped = packed(plain)
 
     bands = written(_band_rows(reps), "bands")
-    lead = bands.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
-    star = written(bands.join(lead, "key").where("id > a").select("key", "a", F.col("id").alias("b"), "m"), "star")
+    # Joins by a bucket's key stand alone in their stages, as sort-merge joins: Spark splits hot keys there.
+    lead = written(bands.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1"), "lead")
+    star = written(bands.hint("merge").join(lead.hint("merge"), "key").where("id > a").select("key", "a", F.col("id").alias("b"), "m"), "star")
     forget(bands)
+    forget(lead)
     pairs = star.select("a", "b").distinct()
     links = _confirmed(_likely(pairs, reps), zipped, reps, size, percent, "links")
+    twice = written(named.groupBy("doc_id").agg(F.min("skey").alias("lo"), F.max("skey").alias("hi")).where("lo != hi").select("doc_id"), "twice")
+    if not twice.isEmpty():  # classes of one id are linked
+        own = named.join(twice, "doc_id").join(reps.select("skey", "id"), "skey").select("doc_id", "id").distinct()
+        links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a < b"))
     found = components(links)
 
     # Buckets of three or more that still hold several components.
     root = found.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     three = star.where("m > 2").join(root, "b", "left").withColumn("rb", F.coalesce("rb", "b"))
     three = three.join(found.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").withColumn("ra", F.coalesce("ra", "a"))
-    mixed = three.groupBy("key").agg(F.max(F.col("rb") != F.col("ra")).alias("mixed"), F.max("m").alias("m")).where("mixed").select("key", "m")
+    three = written(three.select("key", "b", "rb", "ra", "m"), "three")
+    forget(star)
+    mixed = written(three.groupBy("key").agg(F.max(F.col("rb") != F.col("ra")).alias("mixed")).where("mixed").select("key"), "mixed")
     # The leader has met all the others: only these are left to meet.
-    members = written(three.join(mixed.select("key"), "key").select("key", F.col("b").alias("id"), F.col("rb").alias("root"), "m"), "members")
+    members = written(three.hint("merge").join(mixed.hint("merge"), "key").select("key", F.col("b").alias("id"), F.col("rb").alias("root"), "m"), "members")
+    forget(three)
+    forget(mixed)
     if not members.isEmpty():
         more = _unsettled(members, zipped, reps, size, percent, "links")
         found = components(links.unionByName(more))

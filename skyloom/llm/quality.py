@@ -3,13 +3,15 @@
 A small network scores features of the whole text (shares of byte classes and of single signs, word
 lengths, repetition of words and lines). It minimises the non-negative unbiased risk
 prior * risk(positives as 1) + max(0, risk(unlabelled as 0) - prior * risk(positives as 0)), from
-trusted positives (quality 1) and unlabelled web text. The class prior is estimated from the share
-of positives among the labelled training rows, which are a random part of the web text. A last
-logistic step on the labelled training rows calibrates the scores.
-
-Training uses a bounded sample (PER_KIND rows of each of positives, negatives and unlabelled).
-Nulls: a null text is empty and has the features of an empty text. Rows with null labels count as
-unlabelled; without any positive every score is 0.
+trusted positives (quality 1) and unlabelled web text (all else). The class prior is estimated from
+the two alone by best-bin estimation, and scores are shifted so that their mean over unlabelled text is
+the prior; labelled negatives play no part.
+
+Training uses the whole texts of a bounded sample (PER_KIND rows and KIND_BYTES bytes of each of
+positives and unlabelled; see common.draw).
+Nulls: a null text is empty and has the features of an empty text; it is not learnt from. Without any
+positive every score is 0. A very long text's features take some 60 times its bytes in one task's
+memory. Repeated rows get equal results, each its own row; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, joined, prefix_hash, slices, span_hash, texts, words
+from .common import SPACE, draw, joined, prefix_hash, released, slices, span_hash, texts, words
 from .toxicity import logistic
 
 PER_KIND = 3000
+KIND_BYTES = 64 << 20
 HIDDEN, STEPS, BATCH = 24, 1500, 256
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0\n\t "
 _CLASS = np.zeros((256, 5 + len(_SIGNS)), np.float64)
@@ -116,34 +119,61 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return PuModel(mean, scale, par, np.array([1.0, 0.0]), prior)
 
 
-def train(rows: DataFrame, text_col: str = "text", label_col: str = "quality", order_col: str = "doc_id", per_kind: int = PER_KIND) -> PuModel | None:
-    """rows: training documents with their label, null where there is none."""
-    label = F.coalesce(F.when(F.col(label_col).isin(0, 1), F.col(label_col).cast("int")), F.lit(-1))
-    rows = rows.select(label.alias("y"), F.xxhash64(order_col).alias("h"), F.coalesce(text_col, F.lit("")).alias("text"))
-    total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not total.get(1):
-        return None
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 4, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled, by best-bin estimation: a classifier of positives against
+    unlabelled, learnt on one half, scores the other; of all thresholds, the one whose ratio of the
+    shares above it has the least upper confidence bound gives the estimate."""
+    rng = np.random.default_rng(seed)
+    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
+    p, u = (np.clip((x - mean) / scale, -8, 8)[rng.permutation(len(x))] for x in (positive, unlabelled))
+    i, j = (len(p) + 1) // 2, (len(u) + 1) // 2
+    x, y = np.concatenate([p[:i], u[:j]]), np.repeat([1.0, 0.0], [i, j])
+    w = logistic(x, y, np.where(y == 1, len(y) / 2 / i, len(y) / 2 / j))
+    p, u = (p[i:], u[j:]) if len(p) > i and len(u) > j else (p, u)
+    above = np.sort(p @ w[:-1])
+    over = np.sort(u @ w[:-1])
+    share_p = 1 - np.arange(len(above)) / len(above)
+    share_u = 1 - np.searchsorted(over, above) / len(over)
+    slack = np.sqrt(np.log(4 / delta) / 2 / len(p)) + np.sqrt(np.log(4 / delta) / 2 / len(u))
+    best = ((share_u + 1.01 * slack) / share_p).argmin()
+    return float(np.clip(share_u[best] / share_p[best], 0.02, 0.98))
+
+
+def calibrated(model: PuModel, unlabelled: np.ndarray) -> PuModel:
+    """Scores whose mean over the unlabelled is the prior: labels play no part in it."""
+    z = model.raw(unlabelled)
+    slope = 3.0 / max(float(z.std()), 1e-6)
+    low, high = -40.0, 40.0
+    for _ in range(60):
+        shift = (low + high) / 2
+        if (1 / (1 + np.exp(-np.clip((z - z.mean()) * slope + shift, -30, 30)))).mean() < model.prior:
+            low = shift
+        else:
+            high = shift
+    model.calibration = np.array([slope, shift - slope * z.mean()])
+    return model
+
 
+def train(rows: DataFrame, docs: DataFrame | None = None, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", per_kind: int = PER_KIND) -> PuModel | None:
+    """rows: ids with labels, of which 1 is trusted and all else is unlabelled; docs: ids with texts,
+    which may be rows itself."""
+    docs = rows if docs is None else docs
+
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(features(texts(batch))), pa.list_(pa.float64()))], ["y", "x"])
-
-    bound = {}  # hashes up to it are the sample; a top-k each, so no task gets more than that
-    for y in total:
-        bound[y] = rows.where(F.col("y") == y).select("h").orderBy("h").limit(per_kind).agg(F.max("h").alias("h")).first()["h"]
-    chosen = rows.where(F.expr(" or ".join(f"(y = {y} and h <= {h})" for y, h in bound.items())))
-    sample = chosen.select("y", "text").mapInArrow(run, "y int, x array<double>").toPandas()
-    x, y = np.array(sample["x"].tolist()), sample["y"].to_numpy()
-    order = np.lexsort([*x.T, y])  # the same model whatever the order of partitions
-    x, y = x[order], y[order]
-    prior = float(np.clip(total[1] / max(1, total[1] + total.get(0, 0)), 0.02, 0.98))
-    unlabelled = x[y == -1] if (y == -1).any() else x
-    model = fit(x[y == 1], unlabelled, prior)
-    if (y == 0).any():
-        known = y >= 0
-        weight = np.where(y[known] == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum()) * known.sum()
-        model.calibration = logistic(model.raw(x[known])[:, None], y[known].astype(float), weight)
-    return model
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(list(features(texts(batch))), pa.list_(pa.float64()))], ["y", "doc_id", "x"])
+
+    some = draw(rows.where(F.col(label_col) == 1).withColumn(label_col, F.lit(1)), docs, per_kind, KIND_BYTES, id_col, label_col, text_col, rest=0)
+    if some is None:
+        return None
+    sample = some.select("y", "doc_id", "text").mapInArrow(run, "y int, doc_id bigint, x array<double>").toPandas().sort_values(["y", "doc_id"])
+    x, y = np.array(sample["x"].tolist()).reshape(-1, N_FEATURES), sample["y"].to_numpy()
+    if not (y == 1).any():
+        return None
+    # The unlabelled are the web text: documents of all kinds, positives among them that nobody marked.
+    unlabelled = x[y == 0] if (y == 0).any() else x
+    return calibrated(fit(x[y == 1], unlabelled, class_prior(x[y == 1], unlabelled)), unlabelled)
 
 
 def score(docs: DataFrame, model: PuModel | None, text_col: str = "text", score_out: str = "score") -> DataFrame:
@@ -153,6 +183,7 @@ def score(docs: DataFrame, model: PuModel | None, text_col: str = "text", score_
     share = docs.sparkSession.sparkContext.broadcast(model)
     names = [f.name for f in schema.fields]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = share.value
         for batch in slices(batches, text_col):

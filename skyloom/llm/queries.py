@@ -24,15 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled(spark: SparkSession, sf_dir: str, column: str, docs: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text, column) of documents, null where there is no label; one label per id."""
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
-    labels = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).alias(column))
-    return docs.select("doc_id", "text").join(labels, "doc_id", "left")
-
-
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack(table(spark, sf_dir, "documents"), vocabulary(TOKENIZER))
+    out = packing.pack(table(spark, sf_dir, "documents"), vocabulary(TOKENIZER), keep_ids=False)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -47,8 +40,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.CompressionClassifier | None:
-    rows = labelled(spark, sf_dir, "toxic").where(F.col("toxic").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
-    return toxicity.train(rows)
+    learn = crc_mod(F.col("doc_id"), 5) != 0
+    return toxicity.train(table(spark, sf_dir, "labels").where(learn), table(spark, sf_dir, "documents").where(learn))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +50,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"), keep=False).drop("media", "fingerprints")
+    return media.media_columns(table(spark, sf_dir, "documents"), keep_media=False).drop("media")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +58,8 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled(spark, sf_dir, "quality").where(crc_mod(F.col("doc_id"), 4) != 2)
-    out = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), quality.train(rows))
+    docs, learn = table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod(F.col("doc_id"), 4) != 2
+    out = quality.score(docs, quality.train(table(spark, sf_dir, "labels").where(learn), docs.where(learn)))
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
@@ -75,7 +68,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spm.encode(table(spark, sf_dir, "documents"), vocabulary(PIECES), ids=False).drop("ids")
+    return spm.encode(table(spark, sf_dir, "documents"), vocabulary(PIECES))
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """SentencePiece encoding by forward filtering and backward sampling, and lossless decoding.
 
 The pieces of a public model span a lattice over each chunk of a text (a word with the spaces before
-it, at most CHUNK bytes). Forward filtering sums the weights of all paths to each place, backward
+it; one of over CHUNK bytes is cut, for memory's sake). Forward filtering sums the weights of all paths to each place, backward
 sampling draws an edge at a time from the end, in proportion. Random numbers are hashes of the row
 key, the chunk and the step, so a row is segmented alike in any run, partition or retry. The model's
 merge ranks r give the weights (r + 1) ** -theta; a large theta comes near the best path. Lattices are
@@ -9,7 +9,9 @@ built once for the distinct chunks of a batch, and all chunks of a batch are sam
 
 Spaces are the meta symbol U+2581; a character that no piece holds, and U+2581 itself, are byte
 pieces, so decoding returns every text exactly. There is no normalisation and no added prefix.
-Nulls: a null text is empty: no ids. Repeated rows with one key get equal ids.
+Nulls: a null text is empty: no ids; null ids are one key. Repeated rows with one key get equal ids. A
+very long text is one batch of its own, at some 200 times its distinct words' bytes of memory. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc, joined, mix, powers, prefix_hash, slices, span_hash, texts
+from .common import crc, joined, mix, powers, prefix_hash, released, slices, span_hash, texts
 
-CHUNK = 192
+CHUNK = 1 << 20
 THETA = 1.5
 META = "▁".encode()
 _ODD = b"\xff\xfe\xfd"  # stands for a U+2581 of the text, which no piece matches
@@ -198,13 +200,23 @@ class Lattice:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
 
+_LATTICES: dict[tuple[str, float], Lattice] = {}  # a worker's
+
+
+def _lattice(path: str, theta: float = THETA) -> Lattice:
+    if (path, theta) not in _LATTICES:
+        _LATTICES[path, theta] = Lattice(path, theta)
+    return _LATTICES[path, theta]
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", theta: float = THETA, seed: int = 0, ids: bool = True) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, lossless, ids): sampled ids, keyed by the id column and seed; with
     ids=False that column is null, which saves its transport."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), F.xxhash64(F.col(id_col).cast("bigint"), F.lit(seed)).alias("key"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Lattice(path, theta)
+        tool = _lattice(path, theta)
         for batch in slices(batches, most=BATCH_BYTES):
             parts = texts(batch)
             rows = tool.encode(parts, batch.column(2).to_numpy())
@@ -220,8 +232,9 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
     """(doc_id, text): the texts of id lists; null lists give empty texts."""
     plain = rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Lattice(path)
+        tool = _lattice(path)
         for batch in batches:
             out = [b"".join(tool.bytes_of[i] for i in x or []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])

@@ -13,7 +13,9 @@ at last of whole windows, which are only counted; so no task ever holds an unbou
 none is cut short. Fragments are written in the shared folder only while they are needed.
 
 Nulls: a null text is empty. Rows with null or repeated ids are told apart by their text; rows that
-repeat both are copies of each other, as any equal texts are. Nothing crosses two rows.
+repeat both are copies of each other, as any equal texts are. Nothing crosses two rows. Texts are
+taken some SLICE_BYTES at a time, longer ones in blocks of that size that overlap by a window less one
+byte. Ties need no rule: all places of a repeated string count. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, mix, powers, prefix_hash, slices, span_hash, texts, written
+from .common import SLICE_BYTES, forget, joined, mix, powers, prefix_hash, released, slices, span_hash, texts, written
 
 LENGTH = 200
 GRAMS = (32, 128, 176, 192, 200)  # of level 0, 1, ...; the last is the window itself
@@ -226,6 +228,7 @@ _SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 def _sorted_groups(frags: DataFrame, length: int) -> DataFrame:
     """(key, code, spans): repeated windows of the fragments (key, code, n, data), key by key."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sort(rows: list[tuple]) -> pa.RecordBatch:
             n = np.array([r[2] for r in rows], np.int64)
@@ -261,13 +264,14 @@ def _groups(classes: DataFrame) -> DataFrame:
     """classes (key, code, many, repeats, ...) with `kinds`, the different fragments of the key,
     for keys that can hold a repeated window."""
     keys = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("many").alias("total"), F.max("repeats").alias("again")).where("total > 1 or again")
-    return classes.join(keys.select("key", "kinds", "again"), "key")
+    return classes.hint("merge").join(written(keys.select("key", "kinds", "again"), "keys").hint("merge"), "key")
 
 
 def _refined(hot: DataFrame, length: int, level: int) -> DataFrame:
     """(key, code, spans) of hot fragments (key, code, n, many, data), dealt anew by longer grams."""
     gram = GRAMS[level] if level < len(GRAMS) - 1 else length
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "data", 1 << 20):
             parts = batch.column(4).to_pylist()
@@ -282,8 +286,8 @@ def _refined(hot: DataFrame, length: int, level: int) -> DataFrame:
         again = pieces.groupBy("key", "code").agg(F.sum(F.col("many") * F.col("n")).alias("windows")).where("windows > 1")
         whole = F.struct(F.col("lo"), (F.col("lo") + F.col("n")).alias("hi"))
         return pieces.join(again, ["key", "code"]).groupBy(F.col("key0").alias("key"), F.col("code0").alias("code")).agg(F.collect_list(whole).alias("spans"))
-    classes = pieces.groupBy("key", "code").agg(F.sum("many").alias("many"), F.max("repeats").alias("repeats"), F.first("n").alias("n"), F.first("data").alias("data"))
-    grouped = written(_groups(classes), "refined")
+    classes = pieces.repartition("key", "code").groupBy("key", "code").agg(F.sum("many").alias("many"), F.max("repeats").alias("repeats"), F.first("n").alias("n"), F.first("data").alias("data"))
+    grouped = written(_groups(written(classes, "refined")), "refined")
     spans = _spans(grouped, grouped, length, level)
     back = pieces.select("key0", "code0", "lo", "key", "code").join(spans, ["key", "code"])
     back = back.select(F.col("key0").alias("key"), F.col("code0").alias("code"), F.transform("spans", lambda s: F.struct((s["lo"] + F.col("lo")).alias("lo"), (s["hi"] + F.col("lo")).alias("hi"))).alias("spans"))
@@ -308,21 +312,39 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     that repeat, as an array; only rows that have any."""
     gram = min(GRAMS[0], length)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in slices(batches):
-            text, lo, n, key, code, again = fragments(texts(batch), length, gram)
+            parts = texts(batch)
+            if len(parts) > 1 or len(parts[0]) <= SLICE_BYTES:
+                text, *rest = fragments(parts, length, gram)
+                yield batch, text, rest
+            else:  # a cut may part a fragment, never a window; parts of one key meet like any others
+                for at in range(0, len(parts[0]) - length + 1, SLICE_BYTES):
+                    text, lo, *rest = fragments([parts[0][at : at + SLICE_BYTES + length - 1]], length, gram)
+                    yield batch, text, (lo + at, *rest)
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, text, (lo, n, key, code, again) in blocks(batches):
             take = pa.array(text)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(code), pa.array(again)], ["doc_id", "rid", "lo", "n", "key", "code", "repeats"])
 
-    found = written(docs.select("doc_id", "rid", "text").mapInArrow(run, "doc_id bigint, rid bigint, lo int, n int, key bigint, code bigint, repeats boolean"), "fragments")
-    classes = found.groupBy("key", "code").agg(F.count("*").alias("many"), F.max("repeats").alias("repeats"), F.min(F.struct("doc_id", "rid", "lo", "n")).alias("at"))
+    every = written(docs.select("doc_id", "rid", "text").mapInArrow(run, "doc_id bigint, rid bigint, lo int, n int, key bigint, code bigint, repeats boolean"), "fragments")
+    # Most keys stand once: only the others go on. The join by key stands alone in its stage, where Spark splits hot keys.
+    live = written(every.groupBy("key").agg(F.count("*").alias("total"), F.max("repeats").alias("again")).where("total > 1 or again").select("key"), "live")
+    found = written(every.hint("merge").join(live.hint("merge"), "key"), "fragments")
+    forget(every)
+    forget(live)
+    classes = written(found.repartition("key", "code").groupBy("key", "code").agg(F.count("*").alias("many"), F.max("repeats").alias("repeats"), F.min(F.struct("doc_id", "rid", "lo", "n")).alias("at")), "classes")
     grouped = written(_groups(classes).select("key", "code", "many", "kinds", "again", F.col("at.n").alias("n"), "at"), "classes")
+    forget(classes)
 
     # bytes of one copy of each fragment that is to be sorted
     need = grouped.where("kinds > 1 or again")
     by_doc = need.groupBy("at.doc_id", "at.rid").agg(F.collect_list(F.struct("key", "code", "many", "kinds", "again", F.col("at.lo").alias("lo"), "n")).alias("want"))
     both = by_doc.join(docs.select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "text"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r")))
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "code", "many", "kinds", "again", "n", "data"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
@@ -349,6 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spans = repeated_spans(plain, length).select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "spans")
     both = plain.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r")), "left").select("doc_id", "rid", "text", "spans")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(5)]

@@ -14,9 +14,13 @@ dictionaries are used as raw content, so that small windows keep raw literals: a
 two bytes and a match as much as ever, and one marked word shows in a window's compressed length.
 The toxic content stands before the ordinary content, at whose offsets nothing changes.
 
-Training uses a bounded sample (PER_CLASS labelled rows a class, PLACES windows of each).
+Training uses the whole texts of a bounded sample of labelled rows (PER_CLASS rows and CLASS_BYTES
+bytes a class; see common.draw), of their windows at most SAMPLES for each part of a dictionary,
+and at most STEMS marked words.
 Nulls: null and empty texts have no window and get the score of a text without evidence. Rows with
-null labels are not learnt from; if one class is missing, every score is 0.
+null labels are not learnt from; if one class is missing, every score is 0. Very long texts are
+scored over all their windows. Repeated rows get equal results, each its own row; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,9 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import draw, released, slices, texts
+
 WINDOW = 64
 PER_CLASS = 2000
-PLACES = 6000  # characters of a training text, from a hashed place on
+CLASS_BYTES = 16 << 20
+SAMPLES = 6000  # windows that a dictionary is trained on, drawn from all windows of the training texts
+STEMS = 200  # marked words at most, those that stand out most
 DICT = 24576
 AROUND = 2  # bytes before and after a marked word that go with it
 MATCH, STRATEGY = 7, 4  # zstandard's lazy search, whose matches hang little on how its tables were filled
@@ -130,7 +138,7 @@ def stems(parts: list[bytes], labels: np.ndarray) -> list[tuple[bytes, int]]:
     for w, (_, k) in sorted(z.items(), key=lambda item: (-round(item[1][0], 6), -len(item[0]), item[0])):
         if not any(w.startswith(v) or v.startswith(w) for v, _ in out):
             out.append((w, k))
-    return out[:200]
+    return out[:STEMS]
 
 
 def toxic_windows(parts: list[bytes], marked: list[tuple[bytes, int]], rng: np.random.Generator) -> tuple[list[bytes], list[bytes]]:
@@ -145,7 +153,7 @@ def toxic_windows(parts: list[bytes], marked: list[tuple[bytes, int]], rng: np.r
             others += [x[i : min(i + 256, a)] for i in range(at, a, 256)]
             at = max(at, b)
         others += [x[i : i + 256] for i in range(at, len(x), 256)]
-    near, others = ([v[i] for i in rng.permutation(len(v))[:6000]] for v in (near, others))
+    near, others = ([v[i] for i in rng.permutation(len(v))[:SAMPLES]] for v in (near, others))
     return near, others
 
 
@@ -158,7 +166,7 @@ def fit(parts: list[bytes], labels: np.ndarray) -> CompressionClassifier | None:
         half[:] = True
     marked = stems([x for x, use in zip(parts, half.tolist(), strict=True) if use], labels[half])
     ordinary = [x[i : i + 256] for x, y, use in zip(parts, labels.tolist(), half.tolist(), strict=True) if use and y == 0 for i in range(0, len(x), 256)]
-    ordinary = [ordinary[i] for i in rng.permutation(len(ordinary))[:6000]]
+    ordinary = [ordinary[i] for i in rng.permutation(len(ordinary))[:SAMPLES]]
     near, others = toxic_windows([x for x, y, use in zip(parts, labels.tolist(), half.tolist(), strict=True) if use and y == 1], marked, rng)
     shared = _dictionary([expanded(x) for x in ordinary], DICT)
     content = b""
@@ -184,15 +192,11 @@ def fit(parts: list[bytes], labels: np.ndarray) -> CompressionClassifier | None:
     return model
 
 
-def train(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", order_col: str = "doc_id", per_class: int = PER_CLASS) -> CompressionClassifier | None:
-    known = rows.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
-    spread = F.pmod(F.xxhash64(F.col(order_col), F.lit("place")), F.greatest(F.length(text_col) - PLACES, F.lit(0)) + 1)
-    known = known.select(F.col(label_col).cast("int").alias("y"), F.xxhash64(order_col).alias("h"), F.substring(text_col, (spread + 1).cast("int"), F.lit(PLACES)).alias("x"))
-    sample = []
-    for y in (0, 1):  # a top-k each: no task gets more than that
-        sample += known.where(F.col("y") == y).orderBy("h", "x").limit(per_class).select("y", "x").collect()
-    sample = sorted((r["y"], r["x"]) for r in sample)
-    return fit([x.encode() for _, x in sample], np.array([y for y, _ in sample], int)) if sample else None
+def train(rows: DataFrame, docs: DataFrame | None = None, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", per_class: int = PER_CLASS) -> CompressionClassifier | None:
+    """rows: ids with labels; docs: ids with texts, which may be rows itself."""
+    some = draw(rows.where(F.col(label_col).isin(0, 1)).withColumn(label_col, F.col(label_col).cast("int")), rows if docs is None else docs, per_class, CLASS_BYTES, id_col, label_col, text_col)
+    sample = sorted((r["y"], r["doc_id"], r["text"].encode()) for r in some.collect()) if some is not None else []
+    return fit([x for _, _, x in sample], np.array([y for y, _, _ in sample], int)) if sample else None
 
 
 def score(docs: DataFrame, model: CompressionClassifier | None, text_col: str = "text", score_out: str = "score") -> DataFrame:
@@ -202,9 +206,8 @@ def score(docs: DataFrame, model: CompressionClassifier | None, text_col: str =
     share = docs.sparkSession.sparkContext.broadcast(model)
     names = [f.name for f in schema.fields]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import slices, texts
-
         tool = share.value
         if tool is not None:
             tool.open()
