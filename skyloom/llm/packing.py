@@ -32,7 +32,7 @@ from .common import crc, id_text, joined, prefix_hash, released, slices, span_ha
 
 CAPACITY = 2048
 PLANS = ((1024, 3), (1024, 8))  # (groups of equal cardinality, pieces up to capacity / that are small): the best plan counts
-RANKED = 1_000_000  # pieces of a length that one window task ranks, or so
+RANKED, SHARES = 256, 8192  # one window ranks about RANKED pieces of a length, or 1 / SHARES of all pieces
 CACHE = 1_000_000  # parts of text whose ids a worker remembers
 
 _ENCODERS: dict[str, WordEncoder] = {}  # a worker's, by path: tasks share what it has learnt
@@ -331,8 +331,9 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs, _ = best_plan(counts, capacity)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     code = runs[:, 0] << 44 | runs[:, 1]
-    # A length's pieces are ranked in `salts` windows, each of about RANKED; their counts give the bases.
-    salts = np.maximum(1, -(-counts // RANKED))
+    # A length's pieces are ranked in `salts` windows, at most SHARES beyond one for each length; their
+    # counts give the bases.
+    salts = np.maximum(1, -(-counts // max(RANKED, int(counts.sum()) // SHARES)))
     first = np.cumsum(salts) - salts
     spark = pieces.sparkSession
     n_salts = F.element_at(F.array(*[F.lit(int(n)) for n in salts]), F.col("length").cast("int") + 1) if salts.max() > 1 else F.lit(1)
