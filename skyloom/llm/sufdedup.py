@@ -286,7 +286,7 @@ def _refined(hot: DataFrame, length: int, level: int) -> DataFrame:
         again = pieces.groupBy("key", "code").agg(F.sum(F.col("many") * F.col("n")).alias("windows")).where("windows > 1")
         whole = F.struct(F.col("lo"), (F.col("lo") + F.col("n")).alias("hi"))
         return pieces.join(again, ["key", "code"]).groupBy(F.col("key0").alias("key"), F.col("code0").alias("code")).agg(F.collect_list(whole).alias("spans"))
-    classes = pieces.repartition("key", "code").groupBy("key", "code").agg(F.sum("many").alias("many"), F.max("repeats").alias("repeats"), F.first("n").alias("n"), F.first("data").alias("data"))
+    classes = pieces.groupBy("key", "code").agg(F.sum("many").alias("many"), F.max("repeats").alias("repeats"), F.first("n").alias("n"), F.first("data").alias("data"))
     grouped = written(_groups(written(classes, "refined")), "refined")
     spans = _spans(grouped, grouped, length, level)
     back = pieces.select("key0", "code0", "lo", "key", "code").join(spans, ["key", "code"])
@@ -335,7 +335,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = written(every.hint("merge").join(live.hint("merge"), "key"), "fragments")
     forget(every)
     forget(live)
-    classes = written(found.repartition("key", "code").groupBy("key", "code").agg(F.count("*").alias("many"), F.max("repeats").alias("repeats"), F.min(F.struct("doc_id", "rid", "lo", "n")).alias("at")), "classes")
+    classes = written(found.groupBy("key", "code").agg(F.count("*").alias("many"), F.max("repeats").alias("repeats"), F.min(F.struct("doc_id", "rid", "lo", "n")).alias("at")), "classes")
     grouped = written(_groups(classes).select("key", "code", "many", "kinds", "again", F.col("at.n").alias("n"), "at"), "classes")
     forget(classes)
 
