@@ -67,6 +67,12 @@ def ring(d2: Column, edges: Sequence[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: d2 < e)) - 1
 
 
+def even_ring(d: Column, low: float, high: float, bins: int, log: bool = False) -> Column:
+    """floor((d - low) / (high - low) * bins), or that of the logarithms; open at both ends."""
+    x, lo, hi = (F.log10(d), math.log10(low), math.log10(high)) if log else (d, low, high)
+    return F.floor(F.round((x - lo) / (hi - lo) * bins, 9)).cast("int")
+
+
 def linking_length(b: float, mpart: float, omegam: float, rho_crit: float = 277.50, softening: float = 0.0) -> float:
     """b times the mean particle separation in kpc/h, not below the softening."""
     return max(b * (mpart * 1e10 / omegam / (rho_crit * 1e9)) ** (1 / 3) * 1000, softening)

@@ -47,6 +47,22 @@ def properties(members: DataFrame, box: float, mpart: float = 1.0) -> DataFrame:
     )
 
 
+def kinetic_energy(members: DataFrame, box: float, scale: float = 1.0, hubble: float = 0.0, mpart: float = 1.0) -> DataFrame:
+    """(gid, ekin): half the sum of squares of peculiar velocities, times the root of the scale factor, plus
+    the Hubble flow `hubble` * offset from the centre."""
+    c = centred(members, box)
+    v = [math.sqrt(scale) * F.col(f"w{a}") + hubble * F.col(f"r{a}") for a in AXES]
+    return c.groupBy("gid").agg((mpart / 2 * F.sum(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])).alias("ekin"))
+
+
+def spin(members: DataFrame, box: float, soft: float, scale: float = 1.0, hubble: float = 0.0, mpart: float = 1.0) -> DataFrame:
+    """(gid, spin): |L| sqrt(|E|) / (G M^2.5), E from kinetic_energy() and half the summed potentials."""
+    h = properties(members, box, mpart).select("gid", "n", F.sqrt(sum((F.col(f"l{a}") * F.col(f"l{a}") for a in AXES), F.lit(0.0))).alias("l"))
+    bound = potential(members, box, soft, mpart, self_term=True).groupBy("gid").agg((F.sum("ep") / 2).alias("ep"))
+    rows = h.join(kinetic_energy(members, box, scale, hubble, mpart), "gid").join(bound, "gid")
+    return rows.select("gid", (F.col("l") * F.sqrt(F.abs(F.col("ekin") + F.col("ep"))) / (GCONS * F.pow(mpart * F.col("n"), F.lit(2.5)))).alias("spin"))
+
+
 def axes_of(shape: DataFrame) -> DataFrame:
     """shape (mxx ... mzz) with aa >= bb >= cc: roots of the tensor's eigenvalues, in closed form."""
     xx, xy, xz, yy, yz, zz = (F.col(f"m{p}") for p in ("xx", "xy", "xz", "yy", "yz", "zz"))
@@ -72,14 +88,15 @@ def overdensity_radius(members: DataFrame, box: float, threshold: float, mpart:
     return got.select("gid", F.col("at.i").cast("bigint").alias("n_in"), F.col("at.r2").alias("r2"), "vmax2")
 
 
-def potential(members: DataFrame, box: float, soft: float, mpart: float = 1.0) -> DataFrame:
-    """(gid, id, ep): softened direct sum over the group's other members (pairs of one group only)."""
+def potential(members: DataFrame, box: float, soft: float, mpart: float = 1.0, self_term: bool = False) -> DataFrame:
+    """(gid, id, ep): softened direct sum over the group's other members (pairs of one group only), and with
+    self_term the member itself at no distance."""
     a = members.select("gid", F.col("id").alias("a"), *(F.col(c).alias(f"a{c}") for c in AXES))
     b = members.select("gid", F.col("id").alias("b"), *(F.col(c).alias(f"b{c}") for c in AXES))
     d = [minimum_image(F.col(f"b{c}") - F.col(f"a{c}"), box) for c in AXES]
     r = F.sqrt((d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).cast("double"))
     both = a.join(b, "gid").where("a != b")
-    return both.groupBy("gid", F.col("a").alias("id")).agg((-GCONS * mpart * mpart * F.sum(1 / (r + soft))).alias("ep"))
+    return both.groupBy("gid", F.col("a").alias("id")).agg((-GCONS * mpart * mpart * (F.sum(1 / (r + soft)) + (1 / soft if self_term else 0.0))).alias("ep"))
 
 
 def virial_overdensity(omegam: float, omegal: float, z: float) -> float:

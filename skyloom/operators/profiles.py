@@ -140,15 +140,15 @@ def ring_volume(length: Column, outer2: Column, inner2: Column) -> Column:
 
 
 def shell_profile(points: DataFrame, centres: DataFrame, edges: Sequence[float], box: float, gate: int = 10) -> DataFrame:
-    """(cid, iy, n, n_in, vr, sr): particles in spherical shells around centres, running count from the
-    centre out, mean and deviation of radial velocity (the latter where n > gate)."""
+    """(cid, iy, n, n_in, vr, vr_in, sr): particles in spherical shells around centres and up to them from the
+    centre out, mean radial velocity of the shell and up to it, deviation of the shell's (where n > gate)."""
     near = range_join(points, centres.select("id", *AXES), math.sqrt(edges[0]), box)
     d = [minimum_image(F.col(f"p_{c}") - F.col(f"c_{c}"), box) for c in AXES]
     vr = F.coalesce(F.try_divide(sum((d[i] * F.col(f"p_v{c}") for i, c in enumerate(AXES)), F.lit(0)), F.sqrt("d2")), F.lit(0.0))
     rows = near.withColumn("vr", vr).withColumn("iy", ring(F.col("d2"), edges)).where("iy >= 0")
-    shells = rows.groupBy(F.col("c_id").alias("cid"), "iy").agg(F.count("*").alias("n"), F.avg("vr").alias("vr"), F.when(F.count("*") > gate, F.stddev_samp("vr")).otherwise(0.0).alias("sr"))
+    shells = rows.groupBy(F.col("c_id").alias("cid"), "iy").agg(F.count("*").alias("n"), F.avg("vr").alias("vr"), F.sum("vr").alias("sum"), F.when(F.count("*") > gate, F.stddev_samp("vr")).otherwise(0.0).alias("sr"))
     inside = Window.partitionBy("cid").orderBy(F.desc("iy")).rowsBetween(Window.unboundedPreceding, 0)
-    return shells.withColumn("n_in", F.sum("n").over(inside))
+    return shells.withColumn("n_in", F.sum("n").over(inside)).withColumn("vr_in", F.sum("sum").over(inside) / F.col("n_in")).drop("sum")
 
 
 def tube_mass(points: DataFrame, nodes: DataFrame, r: float, r_end: float, box: float, mpart: float = 1.0, guard: bool = True) -> DataFrame:
@@ -194,6 +194,22 @@ def spline_kernel(u: Column) -> Column:
     return F.when(u < 0.5, 1 - 6 * u * u + 6 * u * u * u).when(u < 1, 2 * F.pow(1 - u, F.lit(3))).otherwise(0.0)
 
 
+def spline_density(points: DataFrame, centres: DataFrame, h: float, box: float) -> DataFrame:
+    """(cid, rho): sum of the cubic spline kernel, 8 / (pi h^3) at its height, over particles within h."""
+    near = range_join(points.select("id", *AXES), centres.select("id", *AXES), h, box)
+    return near.groupBy(F.col("c_id").alias("cid")).agg((F.sum(spline_kernel(F.sqrt(F.col("d2").cast("double")) / h)) * 8 / (math.pi * h**3)).alias("rho"))
+
+
+def filament_edges(lengths: DataFrame, r_max: float, bins: int, log: bool = True) -> DataFrame:
+    """(fil, i, edge): each filament's own ring edges, descending from its length or r_max to a fiftieth of
+    that (log) or to 0 (linear)."""
+    outer = F.least(F.col("len"), F.lit(float(r_max)))
+    i = F.col("i")
+    step = F.log10(outer / 50) + (F.log10(outer) - F.log10(outer / 50)) / bins * (bins - i)
+    edge = F.when(i == 0, outer).otherwise(F.pow(F.lit(10.0), step)) if log else outer * (bins - i) / bins
+    return lengths.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(bins)))).select("fil", "i", edge.alias("edge"))
+
+
 def lens_volume(r: Column, q: Column, d: Column) -> Column:
     """Volume common to two spheres of radii r and q at distance d."""
     small = F.least(r, q)

@@ -57,5 +57,27 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, log
     return df.withColumn("bin", b).where((F.col("bin") >= 0) & (F.col("bin") < bins)).groupBy("bin").agg(F.count("*").alias("n"))
 
 
+def normalised(counts: DataFrame) -> DataFrame:
+    """counts (bin, n) with `share` of all."""
+    total = counts.agg(F.sum("n").alias("total"))  # one row: its size is proven
+    return counts.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total")).drop("total")
+
+
+def histogram_2d(df: DataFrame, one: tuple[str, float, float, int], two: tuple[str, float, float, int]) -> DataFrame:
+    """(i, j, n) of two columns, each (name, low, high, bins)."""
+    cell = lambda c, low, high, bins: F.floor(F.round((F.col(c) - low) / (high - low) * bins, 9)).cast("int")
+    rows = df.select(cell(*one).alias("i"), cell(*two).alias("j")).where((F.col("i") >= 0) & (F.col("i") < one[3]) & (F.col("j") >= 0) & (F.col("j") < two[3]))
+    return rows.groupBy("i", "j").agg(F.count("*").alias("n"))
+
+
+def ranked(df: DataFrame, value: str, tie: str) -> DataFrame:
+    """df with `rank` from 1, by value descending, then `tie`: the counts above each distinct value (one
+    narrow window over these) and a window in each value, so rows are never in one task."""
+    counts = df.groupBy(value).agg(F.count("*").alias("many"))
+    above = counts.withColumn("above", F.coalesce(F.sum("many").over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("many")
+    inside = F.row_number().over(Window.partitionBy(value).orderBy(tie))
+    return df.withColumn("inside", inside).join(above, value).withColumn("rank", F.col("above") + F.col("inside")).drop("inside", "above")
+
+
 def describe(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"), F.median(value).alias("median"))
