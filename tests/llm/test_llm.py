@@ -326,6 +326,38 @@ def test_license_spans(spark):
     assert (got[3].n_base, got[3].first_word, got[3].last_word) == (3, 0, 4)
 
 
+def test_license_repeated_grams(spark):
+    """Repeats of a few words of a template are no span of it, however many votes their diagonals add up to."""
+    mit = license.TEMPLATES["mit"].split()
+    rows = [(1, "permission is " * 20), (2, "software without " * 20), (3, "the software " * 30), (4, "version 2 0 " * 3), (5, " ".join(mit[:14] + ["x", "y"] + mit[14:])), (6, " ".join(reversed(mit))), (7, "the software " * 30 + " ".join(mit))]
+    got = {r.doc_id: r for r in license.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i].labels for i in (1, 2, 3, 4, 6)] == [""] * 5 and [got[i].score for i in (1, 2, 3, 4, 6)] == [0.0] * 5
+    assert got[5].labels == got[7].labels == "mit" and got[5].score > 0.9 and got[7].spans[0].last == 60 + len(mit) - 1
+
+
+def brute_chain(pos, at):
+    """Longest chain by trying every predecessor."""
+    rows = sorted(zip(pos, at, strict=True))
+    best = [1] * len(rows)
+    for i, (p, t) in enumerate(rows):
+        for j, (q, u) in enumerate(rows[:i]):
+            if q < p and u < t and abs((p - t) - (q - u)) <= license.GAP:
+                best[i] = max(best[i], best[j] + 1)
+    return max(best)
+
+
+def test_license_chain():
+    rng = random.Random(8)
+    for _ in range(200):
+        size = rng.randint(3, 12)
+        hits = sorted({(p, rng.randrange(size)) for p in range(rng.randint(1, 14))})
+        pos, at = (np.array(x) for x in zip(*hits, strict=True))
+        n, first, last = license.longest_chain(pos, at, size)
+        assert 1 <= n <= brute_chain(pos.tolist(), at.tolist()) and first <= last
+    exact = np.arange(9)
+    assert license.longest_chain(exact + 5, exact, 9) == (9, 5, 13)
+
+
 def test_pieces(spark, docs, odd, empty):
     path = queries.vocabulary(queries.PIECES)
     for df in (docs, odd):
@@ -393,14 +425,110 @@ def test_top_k_odd(spark):
     assert knn.search(t.where("false"), lambda i: i % 20 == 0).count() == 0
 
 
-def test_pipeline(spark, docs):
+def test_top_k_large(spark):
+    """Components whose products leave doubles and 64 bits, and repeated query ids."""
+    rows = [(0, [1e9, 1.0]), (1, [1e9, 2.0]), (2, [1e30, 1.0]), (3, [-1e200, 0.5]), (4, [3.0, -1.0]), (20, [1e305, 1e305]), (40, [1.0, 1.0]), (40, [1.0, 1.0])]
+    got = defaultdict(list)
+    for r in sorted(knn.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), lambda i: i % 20 == 0).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = [(i, [int(np.floor(64 * x)) if abs(x) < 1e15 else 64 * int(x) for x in v]) for i, v in rows]
+    for q in (0, 20, 40):
+        mine = next(v for i, v in whole if i == q)
+        want = sorted(((i, max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, mine, strict=True))))) for i, v in whole if i != q), key=lambda x: (-x[1], x[0]))
+        assert got[q] == want
+
+
+def test_near_duplicates_repeated_ids(spark):
+    """Rows of one id with different texts are one document: their classes are linked."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(7, a), (7, b), (8, a + " x"), (9, b + " y"), (10, b), (11, "other words that nothing else here has at all")]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(7, 7), (8, 7), (9, 7), (10, 7), (11, 11)}
+
+
+def test_suffix_dedup_long(spark, monkeypatch):
+    """Texts of several blocks."""
+    monkeypatch.setattr(sufdedup, "SLICE_BYTES", 700)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(420)
+    rows = [(0, noise(2500) + passage + noise(1800)), (1, passage[30:]), (2, noise(690) + passage[100:400]), (3, noise(5000)), (4, "x" * 3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = dict(zip([r[0] for r in rows], brute_repeats([r[1].encode() for r in rows], 200), strict=True))
+    plain = df.selectExpr("doc_id", "xxhash64(text) as rid", "text")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sufdedup.remove_repeats(df).collect()}
+    assert got == want and sufdedup.repeated_spans(plain).count() == 4
+
+
+def test_parts_like_the_tokenizer():
+    """The parts' ids are the tokenizer's, whatever the signs, cases and contractions."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary(queries.TOKENIZER)
+    tool, mine = Tokenizer.from_file(path), packing.WordEncoder(path)
+    rng = random.Random(3)
+    signs = "abcdefgXYZ '.,!019-_\t\n\xe9\xc9\xdf\xb5\xaa\xba\xb2\xbc\xd7<|>srtvemld'"
+    rows = ["".join(rng.choice(signs + extra) for _ in range(rng.randint(0, 50))) for extra in ("", "\u6f22\u0301\x85") for _ in range(2000)]
+    rows += ["a<|endoftext|>b", "don't DON'T 's x'sy l'll we'Re", "''s &'s 'sx 'll", "'", ""]
+    assert mine(rows) == [np.array(x.ids, "<u4").tobytes() for x in tool.encode_batch_fast(rows, add_special_tokens=False)]
+
+
+def test_packing_plans():
+    """Few more sequences than the lower bound, on small and on large counts."""
+    rng = np.random.default_rng(2)
+    lengths = np.minimum(rng.lognormal(6, 1.1, 40_000).astype(int) + 1, 2048)
+    for times in (1, 1000):
+        counts = np.bincount(lengths, minlength=2049) * times
+        runs, used = packing.best_plan(counts)
+        assert (np.bincount(runs[:, 0], runs[:, 2], minlength=2049) == counts).all()
+        least = -(-int((counts * np.arange(2049)).sum()) // 2048)
+        assert least <= used <= least * 1.002 + 1
+
+
+def test_class_prior():
+    """The prior of a mixture is found from positives and unlabelled alone."""
+    rng = np.random.default_rng(1)
+    p, n = rng.normal(0, 1, (6000, 5)), rng.normal(0, 1, (2000, 5)) + 4
+    for share in (0.3, 0.8):
+        k = int(share * 2000)
+        assert abs(quality.class_prior(p[:3000], np.concatenate([p[3000 : 3000 + k], n[: 2000 - k]])) - share) < 0.06
+
+
+def test_bounded_sample(spark, odd):
+    from skyloom.llm.common import draw
+
+    rows = spark.range(5000).selectExpr("id as doc_id", "concat('text ', id) as text", "id % 3 = 0 as y").union(spark.createDataFrame([(1, "again", True), (None, "x", True), (9, None, True)], "doc_id bigint, text string, y boolean"))
+    got = draw(rows, rows, 200, 1 << 20, "doc_id", "y", "text").collect()
+    assert Counter(r.y for r in got) == {True: 200, False: 200} and len({r.doc_id for r in got}) == 400
+    few = draw(rows, rows, 200, 100, "doc_id", "y", "text").collect()
+    assert all(sum(len(r.text) for r in few if r.y == y) <= 100 for y in (True, False))
+    assert draw(rows.where("false"), rows, 200, 100, "doc_id", "y", "text") is None
+
+
+def test_pipeline_odd(spark, odd, tmp_path):
+    """Every stage takes nulls, repeated ids and rows, clashing columns and empty tables."""
+    import corpus_pipeline as c
+
+    two = odd.unionByName(spark.createDataFrame([(1, "another text of the same id, quite unlike the other one", "en", "s", 9.0)], "doc_id bigint, text string, lang string, source string, score double").selectExpr("*", "lang as lang_pred", "1 as key", "'x' as spans"))
+    once = c.drop_near_duplicates(spark, two, SF)
+    ids = Counter(r.doc_id for r in once.collect())
+    assert once.columns == two.columns and ids[1] == 2 and ids[5] == 1 and ids[2] == ids[8] == 0 and ids[None] == 1
+    for df in (two, two.where("false")):
+        for _, stage in c.STAGES[:4]:
+            assert stage(spark, df, SF).columns == df.columns
+        cut = c.cut_repeats(spark, df, SF)
+        assert cut.count() == df.count()
+        assert c.pack(spark, df, SF).select("doc_id").distinct().count() == df.select("doc_id").distinct().count()
+
+
+def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as c
 
     now = docs
     for name, stage in c.STAGES[:4]:
         after = stage(spark, now, SF)
-        after.write.mode("overwrite").parquet(f"/tmp/skyloom-test-{name}")
-        after = spark.read.parquet(f"/tmp/skyloom-test-{name}")
+        after.write.parquet(f"file://{tmp_path}/{name}")
+        after = spark.read.parquet(f"file://{tmp_path}/{name}")
         assert after.columns == docs.columns
         if name == "near_duplicates":
             p = now.toPandas()
