@@ -2,12 +2,11 @@
 
 The smaller side (nodes, halos) is exploded to its neighbouring cells, never the larger one. With
 fewer than 3 cells a side, wrapped neighbours coincide and are made distinct, so no pair comes twice.
-Hot cells are split by AQE's skew join, since both inputs are plain exchanges.
+Both inputs are plain exchanges, so AQE splits cells that are hot in bytes.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,10 +26,12 @@ def with_cell(df: DataFrame, n: int, box: float) -> DataFrame:
 
 def with_near_cells(df: DataFrame, n: int, box: float, reach: int = 1) -> DataFrame:
     """A row for each distinct cell within `reach` cells."""
-    axis = [cell_of(F.col(c), box, n) for c in AXES]
-    around = itertools.product(range(-min(reach, n), min(reach, n) + 1), repeat=3)
-    keys = [cell_key(n, *(F.pmod(a + F.lit(o), F.lit(n)) for a, o in zip(axis, off, strict=True))) for off in around]
-    return df.withColumn("cell", F.explode(F.array_distinct(F.array(*keys))))
+    around = range(-min(reach, n), min(reach, n) + 1)
+    near = {f"__{c}": F.array_distinct(F.array(*(F.pmod(cell_of(F.col(c), box, n) + F.lit(o), F.lit(n)) for o in around))) for c in AXES}
+    df = df.withColumns(near)  # distinct on each axis, so distinct in space
+    for c in near:
+        df = df.withColumn(c, F.explode(c))
+    return df.withColumn("cell", cell_key(n, *(F.col(c) for c in near))).drop(*near)
 
 
 def offsets(a: str, b: str, box: float) -> list[Column]:
@@ -85,13 +86,14 @@ def exists_within(probes: DataFrame, points: DataFrame, r: float, box: float, sa
 
 def nearest_k(points: DataFrame, centres: DataFrame, k: int, step: float, box: float) -> DataFrame:
     """Exact k nearest points of each centre: (centre, point, d2, rank), ties to the smaller id. The radius
-    grows by `step` for centres that still have fewer than k, until it covers the box."""
+    doubles, from `step`, for centres that still have fewer than k, until it covers the box. Cells stay
+    small against the radius, so that the last rounds are not one cell of all points."""
     out, left, i = None, centres.select("id", *AXES), 1
     while True:
         r = step * i
         # one step beyond half the box's diagonal every point is near every centre
         last = r > box * math.sqrt(3) / 2
-        near = range_join(points.select("id", *AXES), left, r, box)
+        near = range_join(points.select("id", *AXES), left, r, box, reach=min(i, 7))
         w = Window.partitionBy("c_id").orderBy("d2", "p_id")
         top = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         done = top.groupBy("c_id").agg(F.count("*").alias("have")) if last else top.groupBy("c_id").agg(F.count("*").alias("have")).where(F.col("have") >= k)

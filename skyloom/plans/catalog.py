@@ -312,11 +312,10 @@ def fn10_gaussian_density(spark, d):
     return profiles.gaussian_density(p, fx.halos(spark, d), 10.0, separation(p, 1.2), BOX).select("cid", F.round("w", 6).alias("w"))
 
 
-@query(f"WITH {PARTICLES_SQL}, h AS (SELECT * FROM (SELECT c_custkey AS id FROM customer) WHERE id % 50 = 0), {HALOS_SQL.replace('halos AS', 'halos0 AS')}, d AS (SELECT b.id AS centre, a.id AS point, {sq('b', 'a')} AS d2 FROM particles a, (SELECT halos0.* FROM halos0 JOIN h USING (id)) b) SELECT centre, point, d2, CAST(row_number() OVER (PARTITION BY centre ORDER BY d2, point) AS INTEGER) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY centre ORDER BY d2, point) <= 32")
+@query(f"WITH {PARTICLES_SQL}, {HALOS_SQL}, k AS (SELECT b.id AS centre, unnest(min(struct_pack(d2 := {sq('b', 'a')}, point := a.id), 32)) AS v FROM particles a, halos b GROUP BY b.id) SELECT centre, v.point AS point, v.d2 AS d2, CAST(row_number() OVER (PARTITION BY centre ORDER BY v.d2, v.point) AS INTEGER) AS rank FROM k")
 def topk1_nearest(spark, d):
-    """Centres are the query set of this search: halos whose id is a multiple of 50, against all particles."""
     p = fx.particles(spark, d)
-    return rangejoin.nearest_k(p, fx.halos(spark, d).where("id % 50 = 0"), 32, float(separation(p, 1.6)), BOX)
+    return rangejoin.nearest_k(p, fx.halos(spark, d), 32, float(separation(p, 1.6)), BOX)
 
 
 @query(f"WITH {PARTICLES_SQL}, {HALOS_SQL}, {PARAMS_SQL}, near AS ({near_sql('halos', 'particles', 'r2', 'a.id AS centre, b.id AS point', 'true')}) SELECT centre, point, d2, CAST(row_number() OVER w AS INTEGER) AS rank FROM near WINDOW w AS (PARTITION BY centre ORDER BY d2, point) QUALIFY row_number() OVER w <= 5")

@@ -84,10 +84,10 @@ def jn5_variable_reach(spark, d):
     return near.select(F.col("c_id").alias("cid"), F.col("p_id").alias("pid"), "d2")
 
 
-@query(f"WITH {NODES_SQL}, {PARAMS_SQL}, near AS ({near_sql('nodes', 'particles', 'r2', 'a.fil*1000+a.k AS node, b.id AS point', 'a.size > 3')}) SELECT node, point, d2, CAST(row_number() OVER w AS INTEGER) AS rank FROM near WINDOW w AS (PARTITION BY node ORDER BY d2, point) QUALIFY row_number() OVER w <= 3")
+@query(f"WITH {NODES_SQL}, {PARAMS_SQL}, near AS ({near_sql('nodes', 'particles', 'r2', 'a.fil*1000+a.k AS node, b.id AS point', 'true')}) SELECT node, point, d2, CAST(row_number() OVER w AS INTEGER) AS rank FROM near WINDOW w AS (PARTITION BY node ORDER BY d2, point) QUALIFY row_number() OVER w <= 3")
 def jn6_topk2_node_neighbours(spark, d):
     p = fx.particles(spark, d)
-    n = fx.nodes(spark, d).where("size > 3").select((F.col("fil") * 1000 + F.col("k")).alias("id"), *"xyz")
+    n = fx.nodes(spark, d).select((F.col("fil") * 1000 + F.col("k")).alias("id"), *"xyz")
     out = rangejoin.nearest_k_within(p, n, 3, separation(p, 1.2), BOX)
     return out.withColumnRenamed("centre", "node")
 
@@ -100,11 +100,11 @@ def jn7_dst1_cell_candidates(spark, d):
     return rangejoin.cell_candidates(p, fx.nodes(spark, d).where("size > 1"), separation(p, 1.2), BOX, "fil").groupBy("fil").agg(F.count("*").alias("n"))
 
 
-@query(FOF_SQL + " SELECT id, x, y, z, gid AS sub FROM members WHERE z < 500")
+@query(FOF_SQL + " SELECT id, x, y, z, gid AS sub FROM members")
 def src7_src8_tagged_members(spark, d):
     """Membership as its own table (gid, id), joined to the particles by id; ungrouped ones drop out."""
     tags = members(spark, d).select("id", F.col("gid").alias("sub"))
-    return fx.particles(spark, d).where("z < 500").select("id", *"xyz").join(tags, "id")
+    return fx.particles(spark, d).select("id", *"xyz").join(tags, "id")
 
 
 @query(f"WITH {PARTICLES_SQL}, {HALOS_SQL} SELECT id, numpart FROM halos WHERE id NOT IN (SELECT id FROM particles WHERE z < 300)")
@@ -207,7 +207,7 @@ def ag24_rn6_ratio_profile(spark, d):
 
 
 def sliced(spark: SparkSession, d: str, extended: bool, cumulative: bool) -> DataFrame:
-    p, n = fx.particles(spark, d), fx.nodes(spark, d).where("size > 3")
+    p, n = fx.particles(spark, d), fx.nodes(spark, d).where("size > 1")
     cut = profiles.slices(n, BOX, 5, extended)
     longest, r = cut.agg(F.max("half")).first()[0] or 0.0, separation(p, 1.2)
     out = profiles.slice_profile(p, cut, [float(r * r), r * r / 4], longest, BOX, cumulative)
@@ -263,9 +263,9 @@ def poly12_extension_points(spark, d):
     return out.select("id", "rand.side", "rand.rand", "j", F.round("x", 5).alias("x"))
 
 
-@query(f"WITH {PARTICLES_SQL}, {HALOS_SQL}, c AS (SELECT * FROM halos WHERE id%50 = 0), d AS (SELECT b.id AS centre, a.id AS point, {sq('b', 'a')} AS d2 FROM particles a, c b), k AS (SELECT centre, d2, row_number() OVER (PARTITION BY centre ORDER BY d2, point) AS rank FROM d) SELECT centre, round(3*8/(4*pi()*pow(max(d2), 1.5)), 9) AS density FROM k WHERE rank <= 8 GROUP BY centre HAVING max(d2) > 0")
+@query(f"WITH {PARTICLES_SQL}, {HALOS_SQL}, k AS (SELECT b.id AS centre, min({sq('b', 'a')}, 8) AS near FROM particles a, halos b GROUP BY b.id) SELECT centre, round(3*8/(4*pi()*pow(list_max(near), 1.5)), 9) AS density FROM k WHERE list_max(near) > 0")
 def fn12_neighbour_density(spark, d):
-    """The centres are the query set: halos whose id is a multiple of 50, against all particles."""
+    """Of every halo, from its 8 nearest particles."""
     p = fx.particles(spark, d)
-    near = rangejoin.nearest_k(p, fx.halos(spark, d).where("id % 50 = 0"), 8, float(separation(p, 1.6)), BOX)
+    near = rangejoin.nearest_k(p, fx.halos(spark, d), 8, float(separation(p, 1.6)), BOX)
     return near.groupBy("centre").agg(F.max("d2").alias("d2"), F.count("*").alias("k")).where("d2 > 0").select("centre", F.round(3 * F.col("k") / (4 * math.pi * F.pow("d2", F.lit(1.5))), 9).alias("density"))
