@@ -24,22 +24,33 @@ def pieces(nodes: DataFrame, box: float) -> DataFrame:
 def nearest_piece(points: DataFrame, nodes: DataFrame, r: float, box: float) -> DataFrame:
     """(pid, fil, k, along, perp2, s, len, vpar, vperp, vx..vz, ux..uz): for each particle within r of a node, the piece
     of each filament on whose length it projects and from whose line it is nearest, within r; ties to
-    the smaller k. Candidates are distinct (particle, filament) pairs."""
-    near = range_join(points.select("id", *AXES), nodes.select("fil", *AXES), r, box).select(F.col("p_id").alias("id"), F.col("c_fil").alias("fil")).distinct()
-    rows = near.join(points, "id").join(pieces(nodes, box), "fil")
-    d = {c: minimum_image(F.col(c) - F.col(f"a{c}"), box) for c in AXES}
-    num = d["x"] * F.col("ex") + d["y"] * F.col("ey") + d["z"] * F.col("ez")
-    rows = rows.withColumn("num", num).withColumn("d2", d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"])
-    rows = rows.withColumn("e2", F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey") + F.col("ez") * F.col("ez"))
-    # perp2 as a quotient of integers on lattices: exact to the last bit of one division
-    rows = rows.withColumn("perp2", (F.col("d2") * F.col("e2") - F.col("num") * F.col("num")) / F.col("e2")).where("num >= 0 and num <= e2").where(F.col("perp2") < r * r)
-    best = F.min_by(F.struct("k", "num", "e2", "s0", "d", "len", "perp2", "ex", "ey", "ez", *(d[c].alias(f"r{c}") for c in AXES), *(f"v{c}" for c in AXES)), F.struct("perp2", "k")).alias("b")
-    got = rows.groupBy("id", "fil").agg(best).select(F.col("id").alias("pid"), "fil", "b.*")
+    the smaller k. Candidates are distinct (particle, filament) pairs; the search for the nearest aggregates
+    narrow rows, and the winner's piece is fetched afterwards."""
+    moving = [f"v{c}" for c in AXES]
+    near = range_join(points.select("id", *AXES, *moving), nodes.select("fil", *AXES), r, box)
+    near = near.select(F.col("c_fil").alias("fil"), *(F.col(f"p_{c}").alias(c) for c in ("id", *AXES, *moving))).distinct()
+    every = pieces(nodes, box).withColumn("e2", F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey") + F.col("ez") * F.col("ez"))
+    rows = _on_pieces(near.join(every.select("fil", "k", "e2", *(f"{q}{c}" for q in "ae" for c in AXES)), "fil"), box)
+    rows = rows.where("num >= 0 and num <= e2").where(F.col("perp2") < r * r)
+    best = rows.groupBy("fil", "id", *AXES, *moving).agg(F.min(F.struct("perp2", "k")).alias("b")).select("fil", "id", *AXES, *moving, "b.k")
+    got = _on_pieces(best.join(every, ["fil", "k"]), box)
     par = (F.col("vx") * F.col("ex") + F.col("vy") * F.col("ey") + F.col("vz") * F.col("ez")) / F.col("d")
     t = F.col("num") / F.col("e2")
     away = {c: F.col(f"r{c}") - t * F.col(f"e{c}") for c in AXES}
     perp = F.try_divide(F.col("vx") * away["x"] + F.col("vy") * away["y"] + F.col("vz") * away["z"], F.sqrt(F.col("perp2")))
-    return got.select("pid", "fil", "k", (F.col("num") / F.col("d")).alias("along"), "perp2", (F.col("s0") + F.col("num") / F.col("d")).alias("s"), "len", par.alias("vpar"), F.coalesce(perp, F.lit(0.0)).alias("vperp"), *(f"v{c}" for c in AXES), *((F.col(f"e{c}") / F.col("d")).alias(f"u{c}") for c in AXES))
+    return got.select(F.col("id").alias("pid"), "fil", "k", (F.col("num") / F.col("d")).alias("along"), "perp2", (F.col("s0") + F.col("num") / F.col("d")).alias("s"), "len", par.alias("vpar"), F.coalesce(perp, F.lit(0.0)).alias("vperp"), *moving, *((F.col(f"e{c}") / F.col("d")).alias(f"u{c}") for c in AXES))
+
+
+def _on_pieces(rows: DataFrame, box: float) -> DataFrame:
+    """Rows of a position x, y, z and a piece from ax.. by ex.. (squared length e2), with the offsets rx.., the inner
+    product num with the piece, and perp2, the squared distance from its line: a quotient of integers
+    on lattices, exact to the last bit of one division. The offsets come from a generator, through which filters
+    are not pushed: pushed filters copy their expressions into each use, and the method generated for that
+    is over the 8,000 bytes that the JVM compiles."""
+    offset = F.struct(*(minimum_image(F.col(c) - F.col(f"a{c}"), box).alias(f"r{c}") for c in AXES))
+    rows = rows.select("*", F.inline(F.array(offset)))
+    inner = lambda u, v: sum((F.col(f"{u}{c}") * F.col(f"{v}{c}") for c in AXES[1:]), F.col(f"{u}x") * F.col(f"{v}x"))
+    return rows.withColumn("num", inner("r", "e")).withColumn("perp2", (inner("r", "r") * F.col("e2") - F.col("num") * F.col("num")) / F.col("e2"))
 
 
 def profile_matrix(projected: DataFrame, edges: Sequence[float], nx: int, keys: Sequence[str] = ("fil",), gate: int = 10) -> DataFrame:
@@ -171,11 +182,7 @@ def transverse_profile(points: DataFrame, nodes: DataFrame, edges: Sequence[floa
     divided by the ring's area and the number of pieces."""
     p = pieces(nodes, box)
     near = range_join(points.select("id", *AXES), nodes.select("fil", *AXES), math.sqrt(edges[0]), box).select(F.col("p_id").alias("id"), F.col("c_fil").alias("fil")).distinct()
-    rows = near.join(points.select("id", *AXES), "id").join(p, "fil")
-    d = {c: minimum_image(F.col(c) - F.col(f"a{c}"), box) for c in AXES}
-    num = d["x"] * F.col("ex") + d["y"] * F.col("ey") + d["z"] * F.col("ez")
-    e2 = F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey") + F.col("ez") * F.col("ez")
-    rows = rows.withColumn("num", num).withColumn("e2", e2).withColumn("perp2", ((d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]) * e2 - num * num) / e2)
+    rows = _on_pieces(near.join(points.select("id", *AXES), "id").join(p.withColumn("e2", F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey") + F.col("ez") * F.col("ez")), "fil"), box)
     rows = rows.where("num >= 0 and num <= e2").withColumn("iy", ring(F.col("perp2"), edges)).where("iy >= 0")
     many = p.groupBy("fil").agg(F.count("*").alias("pieces"))
     outer = F.element_at(F.array(*map(F.lit, edges)), F.col("iy") + 1)
