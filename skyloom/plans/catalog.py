@@ -367,4 +367,4 @@ def ag33_histogram(spark, d):
     return stacking.histogram(polyline.properties(fx.nodes(spark, d), BOX), "len", 0.5, 150.5, 15)
 
 
-from . import extras, filaments  # noqa: E402,F401  register their queries
+from . import extras, filaments, shapes  # noqa: E402,F401  register their queries
