@@ -14,8 +14,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): nodes of edges (a, b) other than the smallest of their component, with that.
 
     Large-star and small-star rounds (O(log^2 n) of them) until the edges are stars. Minima are
-    pre-aggregated and the joins are plain equi-joins, which Spark splits when a hub is hot;
-    each round is a table in the shared folder.
+    pre-aggregated and the joins are plain equi-joins, which Spark splits when a hub is hot (hinted as
+    merges, since the files of a round are far smaller than its rows); each round is a table in the
+    shared folder.
     """
 
     def state(df: DataFrame) -> tuple:
@@ -26,9 +27,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.hint("merge").join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        small = large.hint("merge").join(least.hint("merge"), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         new = written(small, name)
         forget(now)
         now, before = new, seen
@@ -41,13 +42,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def labels(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
     """nodes with `root`, the smallest id of their component; isolated nodes are their own."""
     found = components(edges.select("a", "b"))
-    return nodes.join(found.select(F.col("node").alias(id_col), "root"), id_col, "left").withColumn("root", F.coalesce("root", id_col))
+    return nodes.hint("merge").join(found.select(F.col("node").alias(id_col), "root").hint("merge"), id_col, "left").withColumn("root", F.coalesce("root", id_col))
 
 
 def with_group(labelled: DataFrame, least: int, root: str = "root") -> DataFrame:
     """Members of groups of at least `least`, with the group's size `n` (pre-aggregated, then joined)."""
     sizes = labelled.groupBy(root).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return labelled.join(sizes, root)
+    return labelled.hint("merge").join(sizes.hint("merge"), root)
 
 
 def fof(points: DataFrame, r: float, box: float, least: int = 20) -> DataFrame:
