@@ -187,3 +187,20 @@ def test_exploded_tables_are_not_broadcast(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(graph, "written", lambda df, name: found.append(joins(df)) or write(df, name))
     assert graph.fof(p, 140, 1000, 2).count() == rows.count() > 0
     assert set().union(*found) == {"SortMergeJoin"}
+
+
+def test_tubes_are_sought_around_their_middles(spark, monkeypatch):
+    """Against brute force, across faces of the box; the search reaches no farther than a tube's corners."""
+    rng = np.random.default_rng(5)
+    pts, start, way = rng.integers(0, 100, (400, 3)), rng.integers(0, 100, (20, 3)), rng.normal(size=(20, 3))
+    way, long = way / np.sqrt((way**2).sum(1, keepdims=True)), rng.uniform(3, 12, 20)
+    rays = spark.createDataFrame([("left", *map(int, s), *map(float, e), float(d)) for s, e, d in zip(start, way, long, strict=True)], "side string, x bigint, y bigint, z bigint, ex double, ey double, ez double, d double")
+    reach, join = [], profiles.range_join
+    monkeypatch.setattr(profiles, "range_join", lambda *a, **k: reach.append(a[2]) or join(*a, **k))
+    got = {(x["ix"], x["iy"]): x["n"] for x in profiles.direction_matrix(points(spark, pts.tolist()), rays, 8, 12, [64.0, 16.0], 2, 1, 100).collect() if x["side"] == "left"}
+    off = (pts[None] - start[:, None] + 50) % 100 - 50
+    along = (off * way[:, None]).sum(2)
+    perp2 = (off * off).sum(2) - along**2
+    want = {(ix, iy): int(((along >= 0) & (along < long[:, None]) & (np.floor(along / long[:, None] * 2) == ix) & ((perp2 < 16) if iy else (perp2 < 64) & (perp2 >= 16))).sum()) for ix in (0, 1) for iy in (0, 1)}
+    assert got == {k: v for k, v in want.items() if v} and len(got) == 4
+    assert reach[0] < 10.01
