@@ -1,4 +1,5 @@
-"""Group properties from members (gid, id, x, y, z, vx, vy, vz)."""
+"""Group properties from members (gid, id, x, y, z, vx, vy, vz). Joins on the group are hinted as merges: there
+may be nearly as many groups as members, and a broadcast table of them is built in the driver."""
 
 from __future__ import annotations
 
@@ -20,11 +21,11 @@ def centred(members: DataFrame, box: float) -> DataFrame:
     Aggregates are joined back, so a hot group is never gathered."""
     members = members.drop("n")
     ref = members.groupBy("gid").agg(*(F.min_by(c, "id").alias(f"o{c}") for c in AXES))
-    off = members.join(ref, "gid")
+    off = members.hint("merge").join(ref.hint("merge"), "gid")
     for c in AXES:
         off = off.withColumn(f"q{c}", minimum_image(F.col(c) - F.col(f"o{c}"), box))
     mean = off.groupBy("gid").agg(F.count("*").alias("n"), *(F.sum(f"q{c}").alias(f"sq{c}") for c in AXES), *(F.sum(f"v{c}").alias(f"sv{c}") for c in AXES))
-    out = off.join(mean, "gid")
+    out = off.hint("merge").join(mean.hint("merge"), "gid")
     for c in AXES:
         m = F.col(f"sq{c}") / F.col("n")
         out = out.withColumn(f"r{c}", F.col(f"q{c}") - m).withColumn(f"c{c}", F.pmod(F.col(f"o{c}") + m, F.lit(float(box)))).withColumn(f"w{c}", F.col(f"v{c}") - F.col(f"sv{c}") / F.col("n"))
@@ -59,7 +60,7 @@ def spin(members: DataFrame, box: float, soft: float, scale: float = 1.0, hubble
     """(gid, spin): |L| sqrt(|E|) / (G M^2.5), E from kinetic_energy() and half the summed potentials."""
     h = properties(members, box, mpart).select("gid", "n", F.sqrt(sum((F.col(f"l{a}") * F.col(f"l{a}") for a in AXES), F.lit(0.0))).alias("l"))
     bound = potential(members, box, soft, mpart, self_term=True).groupBy("gid").agg((F.sum("ep") / 2).alias("ep"))
-    rows = h.join(kinetic_energy(members, box, scale, hubble, mpart), "gid").join(bound, "gid")
+    rows = h.hint("merge").join(kinetic_energy(members, box, scale, hubble, mpart).hint("merge"), "gid").hint("merge").join(bound.hint("merge"), "gid")
     return rows.select("gid", (F.col("l") * F.sqrt(F.abs(F.col("ekin") + F.col("ep"))) / (GCONS * F.pow(mpart * F.col("n"), F.lit(2.5)))).alias("spin"))
 
 
@@ -95,7 +96,7 @@ def potential(members: DataFrame, box: float, soft: float, mpart: float = 1.0, s
     b = members.select("gid", F.col("id").alias("b"), *(F.col(c).alias(f"b{c}") for c in AXES))
     d = [minimum_image(F.col(f"b{c}") - F.col(f"a{c}"), box) for c in AXES]
     r = F.sqrt((d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).cast("double"))
-    both = a.join(b, "gid").where("a != b")
+    both = a.hint("merge").join(b.hint("merge"), "gid").where("a != b")
     return both.groupBy("gid", F.col("a").alias("id")).agg((-GCONS * mpart * mpart * (F.sum(1 / (r + soft)) + (1 / soft if self_term else 0.0))).alias("ep"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 from skyloom.functions import geometry as g
 from skyloom.operators import graph, halos, polyline, profiles, rangejoin, stacking
+from skyloom.plans import catalog
 from skyloom.plans.catalog import ORACLES, QUERIES
 from skyloom.sources import fixtures, snapshots
 
@@ -204,3 +205,18 @@ def test_tubes_are_sought_around_their_middles(spark, monkeypatch):
     want = {(ix, iy): int(((along >= 0) & (along < long[:, None]) & (np.floor(along / long[:, None] * 2) == ix) & ((perp2 < 16) if iy else (perp2 < 64) & (perp2 >= 16))).sum()) for ix in (0, 1) for iy in (0, 1)}
     assert got == {k: v for k, v in want.items() if v} and len(got) == 4
     assert reach[0] < 10.01
+
+
+def test_group_joins_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Nearly as many groups as members: a broadcast table of them is built in the driver. Queries that read
+    members more than once read them from one table."""
+    spark.range(1000).selectExpr("id DIV 3 AS gid", "id", *(f"id * {k} % 1000 AS {c}" for c, k in zip(("x", "y", "z", "vx", "vy", "vz"), (7919, 31, 577, 3, 5, 7), strict=True))).write.parquet(f"{tmp_path}/m")
+    m = spark.read.parquet(f"{tmp_path}/m")
+    for df in (halos.properties(m, 1000), halos.kinetic_energy(m, 1000), halos.overdensity_radius(m, 1000, 0.1), halos.potential(m, 1000, 1.0), halos.spin(m, 1000, 1.0)):
+        assert joins(df) == {"SortMergeJoin"}
+    made, members = [], catalog.members
+    monkeypatch.setattr(catalog, "members", lambda *a: made.append(a) or members(*a))
+    for name in ("ag2_to_ag9_halo_properties", "ag5_angular_momentum", "ag6_overdensity_radius", "ag8_long_axis", "ag8_shape_tensor", "ag9_kinetic_energy", "ag10_most_bound", "ag10_potential", "flt7_single_group"):
+        scans = re.findall(r"Location: InMemoryFileIndex.*?/(members|orders)", QUERIES[name](spark, SF)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        assert set(scans) == {"members"}, name
+    assert len(made) == 9
