@@ -117,16 +117,16 @@ def voronoi(points: DataFrame, box: float, k: int = 96) -> DataFrame:
         step = max(box * (1.6 * k / max(1, total) / 4.19) ** (1 / 3), box / 500)  # a sphere of 1.6 k points on average
         near = nearest_k(sites, left, k + 1, step, box).where("centre != point")
         offset = {c: minimum_image(F.col(f"p{c}") - F.col(c), box).cast("double").alias(c) for c in AXES}
-        rows = near.join(sites.select(F.col("id").alias("point"), *(F.col(c).alias(f"p{c}") for c in AXES)), "point").join(left.withColumnRenamed("id", "centre"), "centre")
+        rows = near.hint("merge").join(sites.select(F.col("id").alias("point"), *(F.col(c).alias(f"p{c}") for c in AXES)).hint("merge"), "point").hint("merge").join(left.withColumnRenamed("id", "centre").hint("merge"), "centre")
         # at most k neighbours a site
         lists = rows.groupBy("centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(F.col("point").alias("id"), *offset.values()).alias("p")))), lambda s: s["p"]).alias("near"))
         # about 200 cells, a second or two of work, for each task
-        spread = left.join(lists.withColumnRenamed("centre", "id"), "id", "left").repartition(-(-max(1, todo) // 200), "id")
+        spread = left.hint("merge").join(lists.withColumnRenamed("centre", "id").hint("merge"), "id", "left").repartition(-(-max(1, todo) // 200), "id")
         cells = spread.mapInArrow(run, "id bigint, volume double, cx double, cy double, cz double, neighbours array<bigint>, certain boolean")
         cells = written(cells, "cells")
         part = cells.where("certain").drop("certain")
         out = part if out is None else out.unionByName(part)
-        left = left.join(cells.where("not certain").select("id"), "id", "left_semi")
+        left = left.hint("merge").join(cells.where("not certain").select("id").hint("merge"), "id", "left_semi")
         if k >= total - 1 or left.isEmpty():
             return out
         left, k = written(left, "uncertain"), 4 * k
@@ -138,7 +138,7 @@ def voronoi_edges(cells: DataFrame, group: DataFrame) -> DataFrame:
     e = cells.select("id", F.explode("neighbours").alias("other")).where("id != other")
     e = e.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     of = lambda side: group.select(F.col("id").alias(side), F.col("gid").alias(f"g{side}"))
-    return e.join(of("a"), "a").join(of("b"), "b").where("ga = gb").select("a", "b")
+    return e.hint("merge").join(of("a").hint("merge"), "a").hint("merge").join(of("b").hint("merge"), "b").where("ga = gb").select("a", "b")
 
 
 def relaxed(points: DataFrame, box: float, times: int) -> DataFrame:

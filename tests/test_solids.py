@@ -2,11 +2,12 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 
-from skyloom.operators import profiles, solids
+from skyloom.operators import profiles, rangejoin, solids
 
 BOX = 100.0
 
@@ -109,3 +110,16 @@ def test_unions(spark):
     lens = spark.range(1).select(profiles.lens_volume(F.lit(1.0), F.lit(1.0), F.lit(d))).first()[0]
     assert tubes == {1: pytest.approx(ball(1) - lens), 3: 0.0}
     assert solids.union_volumes(spheres.where("fil > 9"), "fil").count() == 0
+
+
+def test_voronoi_joins_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Files of neighbours are far smaller than their rows; a broadcast table is built in the driver."""
+    rng = random.Random(6)
+    spark.createDataFrame([(i, *(rng.uniform(0, BOX) for _ in range(3))) for i in range(60)], "id long, x double, y double, z double").write.parquet(f"{tmp_path}/p")
+    points, found = spark.read.parquet(f"{tmp_path}/p"), []
+    for module in (solids, rangejoin):
+        monkeypatch.setattr(module, "written", lambda df, name, write=module.written: found.append(df) or write(df, name))
+    cells = solids.voronoi(points, BOX, 12)
+    found.append(solids.voronoi_edges(cells, points.selectExpr("id", "id % 2 AS gid")))
+    used = set().union(*(re.findall(r"\w+Join\b", df._jdf.queryExecution().executedPlan().toString()) for df in found))
+    assert used == {"SortMergeJoin"} and found[-1].count() > 0
