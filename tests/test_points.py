@@ -253,3 +253,9 @@ def test_nearest_piece_shuffles_no_pairs(spark):
     dense = profiles.densified(matrix, 2, 2)
     assert not joins(dense)  # the matrix is read once
     assert sorted(map(tuple, dense.collect())) == [(1, 0, 0, 0, 0.0), (1, 0, 1, 5, 2.0), (1, 1, 0, 0, 0.0), (1, 1, 1, 0, 0.0)]
+
+
+def test_ratio_profile_reads_each_side_once(spark):
+    rows = spark.createDataFrame([(1, 0, 2.0), (1, 0, 0.5), (1, 1, 2.0)], "fil long, k long, perp2 double")
+    out = profiles.ratio_profile(rows, rows, [4.0, 1.0], 10.0)
+    assert not joins(out) and sorted(map(tuple, out.collect())) == [(1, 0, 10.0, 1), (1, 1, 10.0, 1)]
