@@ -291,41 +291,140 @@ def exposed(r: float, c: np.ndarray, other: np.ndarray) -> float:
     return float(r * r / 3 * (w * free).sum())
 
 
-def union_volumes(spheres: DataFrame, key: str) -> DataFrame:
-    """(key, volume) of the union of each key's spheres (key, x, y, z, r > 0; not periodic: unwrapped). A sphere meets
-    only those of its key in the cells around it, so a long chain is spread over many tasks."""
-    s = written(spheres.where("r > 0").select(key, *AXES, "r").na.drop().distinct(), "spheres")
-    many, most = s.agg(F.count("*"), F.max("r")).first()
-    if most is None:
-        return s.select(key, F.lit(0.0).alias("volume"))
-    side = 2.0 * float(most)
-    cell = {c: F.floor(F.col(c) / side).cast("bigint") for c in AXES}
-    a = s.select(key, *(F.col(c).cast("double").alias(f"a{c}") for c in AXES), F.col("r").cast("double").alias("ar"), *(v.alias(f"i{c}") for c, v in cell.items()))
-    for c in AXES:
-        a = a.withColumn(f"i{c}", F.explode(F.sequence(F.col(f"i{c}") - 1, F.col(f"i{c}") + 1)))
-    b = s.select(key, *(F.col(c).cast("double") for c in AXES), F.col("r").cast("double"), *(v.alias(f"i{c}") for c, v in cell.items()))
-    both = a.join(b, [key, *(f"i{c}" for c in AXES)])
-    off = [F.col(c) - F.col(f"a{c}") for c in AXES]
-    d2, reach = off[0] * off[0] + off[1] * off[1] + off[2] * off[2], F.col("ar") + F.col("r")
-    same = (d2 == 0) & (F.col("r") == F.col("ar"))
-    lists = both.where(d2 < reach * reach).groupBy(key, *(f"a{c}" for c in AXES), "ar").agg(F.collect_list(F.when(~same, F.array(*off, F.col("r")))).alias("others"))
+MANY = 4096  # spheres of a key that are held at once; keys of more are dealt out in cells
+PAIRS = 1 << 20  # pairs handled at once
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for every j in lo[i] ... hi[i] - 1, in chunks of whole i."""
+    ends, i = np.cumsum(hi - lo), 0
+    while i < len(lo):
+        done = ends[i - 1] if i else 0
+        k = max(i + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+        size = hi[i:k] - lo[i:k]
+        yield np.repeat(np.arange(i, k), size), np.arange(ends[k - 1] - done) + np.repeat(lo[i:k] - (ends[i:k] - size - done), size)
+        i = k
+
+
+def shares(group: np.ndarray, c: np.ndarray, r: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """What the spheres (centre c, radius r) add to the volume of the union of their group (0, 1, ... in order), summed
+    by group. Only spheres at `home` add, and of equal ones one. Where the caps that others cut off are
+    apart or nested the share is a closed form, else exposed()."""
+    total = np.zeros(int(group.max()) + 1 if len(group) else 0)
+    order = np.lexsort((r, c[:, 2], c[:, 1], c[:, 0], group))
+    g, c, r, home = group[order], c[order], r[order], home[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1]).any(1) | (r[1:] != r[:-1])
+    g, c, r, home = g[new], c[new], r[new], home[new]
+    if not len(g):
+        return total
+    # along x, one group after the other
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    size = np.diff(np.append(first, len(g)))
+    begin, most = np.repeat(first, size), np.repeat(np.maximum.reduceat(r, first), size)
+    at = c[:, 0] - c[begin, 0]
+    gap = at.max() + 4 * most.max()
+    at += np.repeat(np.arange(len(first)), size) * gap
+    near = (r + most) * (1 + 1e-9) + 1e-12 * (at[-1] + gap)
+    lo = np.where(home, np.maximum(np.searchsorted(at, at - near), begin), 0)
+    hi = np.where(home, np.minimum(np.searchsorted(at, at + near, "right"), begin + np.repeat(size, size)), 0)
+    share = np.where(home, 4 / 3 * math.pi * r**3, 0.0)
+    for i, j in _ranges(lo, hi):
+        off = c[j] - c[i]
+        d = np.sqrt((off**2).sum(1))
+        share[i[(i != j) & (d + r[i] <= r[j])]] = 0
+        cut = (share[i] > 0) & (d < r[i] + r[j]) & (d + r[j] > r[i]) & (i != j)
+        i, j, off, d = i[cut], j[cut], off[cut], d[cut]
+        u, a = off / d[:, None], (d * d + r[i] ** 2 - r[j] ** 2) / (2 * r[i] * d)
+        wide = np.arccos(np.clip(a, -1, 1))
+        start, stop = np.searchsorted(i, i), np.searchsorted(i, i, "right")
+        crowd = stop - start > 64  # exposed() has these as they are
+        nested, meets = np.zeros(len(i), bool), [np.flatnonzero(crowd)]
+        for p, q in _ranges(np.where(crowd, 0, start), np.where(crowd, 0, stop)):
+            angle = np.arctan2(np.sqrt((np.cross(u[p], u[q]) ** 2).sum(1)), (u[p] * u[q]).sum(1))
+            nested[p[(p != q) & (angle + wide[p] <= wide[q] - 1e-9)]] = True
+            touch = (p != q) & (angle < wide[p] + wide[q] - 1e-9)
+            p, q = p[touch], q[touch]
+            meets.append(p[~nested[p] & ~nested[q]])  # a sphere's caps are all in this chunk
+        hard = np.zeros(len(r), bool)
+        hard[i[np.concatenate(meets)]] = True
+        plain = ~nested & ~hard[i]
+        cap = math.pi * r[i] ** 2 / 3 * (2 * r[i] * (1 - a) + (c[i] * u).sum(1) * (1 - a * a))
+        np.subtract.at(share, i[plain], cap[plain])
+        for k in np.flatnonzero(hard):
+            mine = np.arange(np.searchsorted(i, k), np.searchsorted(i, k, "right"))
+            mine = mine[~nested[mine]]
+            share[k] = exposed(float(r[k]), c[k], np.column_stack([off[mine], r[j[mine]]]))
+    return np.bincount(g, share, len(total))
+
+
+def _unions(spheres: DataFrame, key: str) -> DataFrame:
+    """(key, volume, caps): volumes of the union of each key's spheres (key, x, y, z, r, cap) and of that of those with
+    `cap` alone. Spheres are shuffled once, by key; those of keys with over MANY go to the cells, 16 largest radii
+    wide, that their reach meets, so a long chain is spread over many tasks. `spheres` is read three times."""
+    s = spheres.where("r > 0").select(key, *AXES, "r", "cap").na.drop()
+    kind = s.schema[key].dataType.simpleString()
+    counts = s.groupBy(key).agg(F.count("*").alias("many"), F.max("r").alias("most"))
+    counts = written(counts.withColumn("large", F.col("many") > MANY).groupBy("large", F.when(F.col("large"), F.col(key)).alias(key)).agg(F.sum("many").alias("many"), F.max("most").alias("most")), "large")
+    large, cell = counts.where("large").select(key, "most"), [f"i{c}" for c in AXES]
+
+    def run(whole: bool):
+        def solved(t: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, t.num_rows)))
+            c, r = np.column_stack([t[a].to_numpy().astype(float) for a in AXES]), t["r"].to_numpy().astype(float)
+            home, cap = (t[a].to_numpy(zero_copy_only=False).astype(bool) for a in ("home", "cap"))
+            if whole:  # all of a key: from its first sphere on, which costs fewer digits
+                c = c - c[first][group]
+            caps = np.zeros(len(first))
+            some = shares(group[cap], c[cap], r[cap], home[cap])
+            caps[: len(some)] = some
+            return pa.RecordBatch.from_arrays([t[key].combine_chunks().take(pa.array(first)), pa.array(shares(group, c, r, home)), pa.array(caps)], [key, "volume", "caps"])
+
+        def starts(t: pa.Table) -> np.ndarray:
+            ids = np.column_stack([t[key].combine_chunks().dictionary_encode().indices.to_numpy(), *(t[a].to_numpy() for a in cell)])
+            return np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(1)]))
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                if batch.num_rows:
+                    t = pa.Table.from_batches([batch])
+                    held = t if held is None else pa.concat_tables([held, t])
+                    first = starts(held)
+                    if len(first) > 1:
+                        yield solved(held.slice(0, int(first[-1])), first[:-1])
+                        held = held.slice(int(first[-1]))
+            if held is not None:
+                yield solved(held, starts(held))
+
+        return each
+
+    schema = f"{key} {kind}, volume double, caps double"
+    sizes = {r["large"]: r["many"] for r in counts.groupBy("large").agg(F.sum("many").alias("many")).collect()}
+    tasks = lambda many: max(1, min(2000, -(-many // 4000)))
+    small = s if True not in sizes else s.join(large, key, "left_anti")
+    small = small.repartition(tasks(sizes.get(False, 0)), key).sortWithinPartitions(key).select("*", *(F.lit(0).alias(i) for i in cell), F.lit(True).alias("home"))
+    out = small.mapInArrow(run(True), schema)
+    if True in sizes:
+        side, reach, rows = 16.0 * F.col("most"), F.col("r") + F.col("most"), s.join(large, key)
+        own = F.lit(True)
+        for c, i in zip(AXES, cell, strict=True):
+            rows = rows.withColumn(i, F.explode(F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side))))
+            own &= F.col(i) == F.floor(F.col(c) / side)
+        rows = rows.select(key, *AXES, "r", "cap", *cell, own.alias("home"))
+        rows = rows.repartition(tasks(sizes[True]), key, *cell).sortWithinPartitions(key, *cell)
+        out = out.unionByName(rows.mapInArrow(run(False), schema).groupBy(key).agg(F.sum("volume").alias("volume"), F.sum("caps").alias("caps")))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            shares = [exposed(x["ar"], np.array([x["ax"], x["ay"], x["az"]]), np.array(x["others"], dtype=float).reshape(-1, 4)) for x in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], [key, "share"])
 
-    # about 2,000 spheres, a second or two of work, for each task
-    parts = lists.repartition(-(-many // 2000), key, *(f"a{c}" for c in AXES)).mapInArrow(run, f"{key} {s.schema[key].dataType.simpleString()}, share double")
-    return parts.groupBy(key).agg(F.sum("share").alias("volume"))
+def union_volumes(spheres: DataFrame, key: str) -> DataFrame:
+    """(key, volume) of the union of each key's spheres (key, x, y, z, r > 0; not periodic: unwrapped)."""
+    return _unions(spheres.withColumn("cap", F.lit(False)), key).select(key, "volume")
 
 
 def tube_volumes(nodes: DataFrame, ends: DataFrame, r: float, key: str = "fil") -> DataFrame:
     """(key, volume): what the spheres of radius r around nodes (key, x, y, z unwrapped) add to the end spheres
     (key, x, y, z, r): the union of all less the union of the ends."""
-    around = nodes.select(key, *(F.col(c).cast("double") for c in AXES), F.lit(float(r)).alias("r"))
-    caps = ends.select(key, *(F.col(c).cast("double") for c in AXES), F.col("r").cast("double"))
-    both = union_volumes(around.unionByName(caps), key).withColumnRenamed("volume", "all")
-    less = union_volumes(caps, key).withColumnRenamed("volume", "caps")
-    return both.join(less, key, "left").select(key, F.greatest(F.col("all") - F.coalesce("caps", F.lit(0.0)), F.lit(0.0)).alias("volume"))
+    around = nodes.select(key, *(F.col(c).cast("double") for c in AXES), F.lit(float(r)).alias("r"), F.lit(False).alias("cap"))
+    caps = written(ends.select(key, *(F.col(c).cast("double") for c in AXES), F.col("r").cast("double"), F.lit(True).alias("cap")), "caps")
+    return _unions(around.unionByName(caps), key).select(key, F.greatest(F.col("volume") - F.col("caps"), F.lit(0.0)).alias("volume"))

@@ -123,3 +123,23 @@ def test_voronoi_joins_are_not_broadcast(spark, tmp_path, monkeypatch):
     found.append(solids.voronoi_edges(cells, points.selectExpr("id", "id % 2 AS gid")))
     used = set().union(*(re.findall(r"\w+Join\b", df._jdf.queryExecution().executedPlan().toString()) for df in found))
     assert used == {"SortMergeJoin"} and found[-1].count() > 0
+
+
+def test_unions_share_no_exploded_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    group, c, r = np.repeat(np.arange(40), 6), rng.integers(0, 40, (240, 3)).astype(float), rng.choice([3.0, 8.0, 20.0], 240)
+    want = np.zeros(40)
+    for k in range(40):
+        own = sorted({(*x, y) for x, y in zip(c[group == k].tolist(), r[group == k].tolist(), strict=True)})
+        for x in own:
+            near = [(*(np.array(y[:3]) - x[:3]), y[3]) for y in own if y != x and math.dist(x[:3], y[:3]) < x[3] + y[3]]
+            want[k] += solids.exposed(x[3], np.array(x[:3]), np.array(near, dtype=float).reshape(-1, 4))
+    assert solids.shares(group, c, r, np.ones(240, bool)) == pytest.approx(want, rel=1e-8)
+    spheres = spark.createDataFrame([(int(g), *x, y) for g, x, y in zip(group, c.tolist(), r.tolist(), strict=True)], "fil bigint, x double, y double, z double, r double")
+    out = solids.union_volumes(spheres, "fil")
+    assert "explode" not in out._jdf.queryExecution().toString()  # a sphere is shuffled once
+    assert {x.fil: x.volume for x in out.collect()} == pytest.approx(dict(enumerate(want)), rel=1e-8)
+    long = spark.range(60).selectExpr("7L as fil", "id * 9D as x", "pmod(id * 7, 11) * 1D as y", "0D as z", "if(id % 3 = 0, 3D, 8D) as r")
+    whole = solids.union_volumes(long, "fil").collect()
+    monkeypatch.setattr(solids, "MANY", 20)
+    assert solids.union_volumes(long, "fil").collect()[0].volume == pytest.approx(whole[0].volume, rel=1e-8)
