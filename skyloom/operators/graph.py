@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import AXES
 from ..functions.tables import forget, written
+from .blocks import CHUNK, ROWS, Grid, blocked, columns
 from .rangejoin import exists_within, range_self_join
 
 
@@ -113,6 +117,89 @@ def admissible(edges: DataFrame, points: DataFrame, r0: float, step: float, box:
     return rows.groupBy("i", "j").agg(F.count("*").alias("good")).join(good, ["i", "j", "good"]).select("i", "j")
 
 
+def admissible_pairs(nodes: DataFrame, points: DataFrame, reach: float, r0: float, step: float, box: float, same: str) -> DataFrame:
+    """(i, j), i < j: what admissible() gives for the edges between all nodes (id, x, y, z, `same`) nearer than
+    `reach` that share `same`. Found in blocks of the box that hold the nodes and points around theirs, so that
+    neither edges nor samples are shuffled; nodes and points at one place are tried once."""
+    known = " and ".join(f"{c} is not null" for c in (*AXES, same))
+    nodes = nodes.select("id", *AXES, same).where(known).where("id is not null")
+    points = written(points.select(*AXES, same).where(known).distinct(), "places")
+    many, half = max(1, nodes.count()), float(box) / 2
+    far = (reach + r0) * (1 + 1e-9)
+    around = nodes.unionByName(points.select(F.lit(None).cast(nodes.schema["id"].dataType).alias("id"), *AXES, same))
+    around = around.select("*", *((F.col(c) - far).alias(f"l{c}") for c in AXES), *((F.col(c) + far).alias(f"h{c}") for c in AXES))
+
+    def places(t: pa.Table, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (kind, x, y, z); ids in their order, and where those of each place begin."""
+        at, which = np.unique(np.column_stack([kind, columns(t, *AXES)]), axis=0, return_inverse=True)
+        ids = t["id"].to_numpy().astype(np.int64)
+        order = np.lexsort((ids, which.ravel()))
+        return at, ids[order], np.searchsorted(which.ravel()[order], np.arange(len(at) + 1))
+
+    def kernel(p: pa.Table, q: pa.Table) -> pa.Table:
+        kinds = pa.concat_arrays([t[same].combine_chunks() for t in (p, q)]).dictionary_encode().indices.to_numpy()
+        mine, theirs = kinds[: p.num_rows].astype(float), kinds[p.num_rows :].astype(float)
+        node = q["id"].is_valid().to_numpy()
+        a, a_ids, a_at = places(p, mine)
+        b, b_ids, b_at = places(q.filter(pa.array(node)), theirs[node])
+        spots, spot_kind = columns(q, *AXES)[~node], theirs[~node]
+        found: list[np.ndarray] = []
+        for kind in np.unique(a[:, 0]):
+            to, at = np.flatnonzero(b[:, 0] == kind), spots[spot_kind == kind]
+            if not len(at):
+                continue
+            from_, grid = np.flatnonzero(a[:, 0] == kind), Grid(at, box, r0)
+            mid, wide = a[from_, 1:], reach * (1 + 1e-9)
+            pairs = [np.zeros((2, 0), np.int64)]
+            held = 0
+            for m, n in Grid(b[to, 1:], box, reach / 4).candidates(mid - wide, mid + wide):
+                m, n = from_[m], to[n]
+                d = np.abs(b[n, 1:] - a[m, 1:])
+                d = np.minimum(d, box - d)
+                d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+                ok = (d2 < reach * reach) & (d2 > 0) & (a_ids[a_at[m]] < b_ids[b_at[n + 1] - 1])
+                pairs.append(np.stack([m[ok], n[ok]]))
+                held += pairs[-1].shape[1]
+                if held > CHUNK:
+                    found += tried(np.concatenate(pairs, 1), a, b, at, grid)
+                    pairs, held = [np.zeros((2, 0), np.int64)], 0
+            found += tried(np.concatenate(pairs, 1), a, b, at, grid)
+        m, n = np.concatenate([np.zeros((2, 0), np.int64), *found], 1)
+        # ids of the places
+        left, right = a_at[m + 1] - a_at[m], b_at[n + 1] - b_at[n]
+        size = left * right
+        row = np.repeat(np.arange(len(m)), size)
+        one, two = np.divmod(np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size), right[row])
+        i, j = a_ids[a_at[m[row]] + one], b_ids[b_at[n[row]] + two]
+        return pa.table({"i": i[i < j], "j": j[i < j]})
+
+    def tried(pairs: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray, grid: Grid) -> list[np.ndarray]:
+        """Those pairs of which every sample has a point; most fall by the first."""
+        m, n = pairs
+        off = b[n, 1:] - a[m, 1:]
+        off = off - np.where(off >= half, box, 0.0) + np.where(off < -half, box, 0.0)
+        d = np.sqrt(off[:, 0] * off[:, 0] + off[:, 1] * off[:, 1] + off[:, 2] * off[:, 2])
+        last, live, t, done = np.floor(d / step), np.arange(len(m)), 0, []
+        while len(live):
+            go = np.where(t < last[live], (t + 0.5) * step, (last[live] * step + d[live]) / 2)
+            probe = np.fmod(a[m[live], 1:] + off[live] * go[:, None] / d[live, None], float(box))
+            probe = np.where(probe < 0, np.fmod(probe + box, float(box)), probe)
+            hit, wide = np.zeros(len(live), bool), r0 * (1 + 1e-9)
+            for row, k in grid.candidates(probe - wide, probe + wide):
+                x = np.abs(at[k] - probe[row])
+                x = np.minimum(x, box - x)
+                hit[row[x[:, 0] * x[:, 0] + x[:, 1] * x[:, 1] + x[:, 2] * x[:, 2] < r0 * r0]] = True
+            live = live[hit]
+            over = last[live] <= t
+            done.append(live[over])
+            live, t = live[~over], t + 1
+        return [pairs[:, x] for x in done]
+
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in "ij"])
+    # a block's points are some eight times those at home in it
+    return blocked(nodes, around, box, kernel, schema, max(1, int(ROWS * min(1.0, 8 * many / max(1, points.count())))))
+
+
 def scaled_weights(edges: DataFrame) -> DataFrame:
     """edges with `scaled`: weights from 0 (the largest) to 1 (the smallest)."""
     ends = edges.agg(F.min("weight").alias("lo"), F.max("weight").alias("hi"))

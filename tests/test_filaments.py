@@ -54,6 +54,19 @@ def test_admissible_edges_need_points_all_along(spark):
     assert rows(graph.admissible(e, pts, 2.0, 1.0, 100, "sub")) == [(1, 2)]
 
 
+def test_admissible_pairs_in_blocks_equal_admissible_edges(spark):
+    rng = random.Random(4)
+    halos = [(k, rng.randrange(100), rng.randrange(100), rng.randrange(100), k % 2) for k in range(120)]
+    halos += [(k + 500, *h[1:]) for k, h in enumerate(halos[:40])]  # copies at the same places
+    nodes = spark.createDataFrame(halos, "id bigint, x bigint, y bigint, z bigint, sub bigint")
+    pts = spark.createDataFrame([(rng.randrange(100), rng.randrange(100), rng.randrange(100), k % 2) for k in range(3000)], "x bigint, y bigint, z bigint, sub bigint")
+    near = rangejoin.range_join(nodes, nodes, 30, 100, p="b_", c="a_").where("a_id < b_id and a_sub = b_sub")
+    e = near.select(F.col("a_id").alias("i"), F.col("b_id").alias("j"), *(F.col(f"a_{c}").alias(c) for c in "xyz"), *(v.alias(f"e{c}") for c, v in zip("xyz", rangejoin.offsets("a_", "b_", 100), strict=True)), F.sqrt(F.col("d2").cast("double")).alias("d"), F.col("a_sub").alias("sub"))
+    want = sorted(rows(graph.admissible(e, pts, 7.5, 6.0, 100, "sub")))
+    assert want and sorted(rows(graph.admissible_pairs(nodes, pts, 30, 7.5, 6.0, 100, "sub"))) == want
+    assert rows(graph.admissible_pairs(nodes.limit(0), pts, 30, 7.5, 6.0, 100, "sub")) == []
+
+
 def test_reach_changes_no_pair(spark):
     rng = np.random.default_rng(1)
     pts = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(rng.integers(0, 100, (300, 3)))], "id long, x long, y long, z long")
