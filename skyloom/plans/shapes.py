@@ -55,5 +55,6 @@ def geo5_tube_volumes(spark, d):
     """Tubes without the virial spheres of both ends."""
     u = unrolled(spark, d)
     e = filament_ends(spark, d).select("fil", "m0", "m1")
-    ends = [u.groupBy("fil").agg(*(f(c, "k").alias(c) for c in "xyz")).join(e, "fil").select("fil", *"xyz", (RVIR * F.cbrt(m)).alias("r")) for f, m in ((F.min_by, "m0"), (F.max_by, "m1"))]
-    return solids.tube_volumes(u, ends[0].unionByName(ends[1]), TUBE)
+    ends = u.groupBy("fil").agg(*(f(F.struct(*"xyz"), "k").alias(n) for f, n in ((F.min_by, "a"), (F.max_by, "b")))).hint("merge").join(e.hint("merge"), "fil")
+    ends = ends.select("fil", F.explode(F.array(*(F.struct(f"{n}.*", (RVIR * F.cbrt(m)).alias("r")) for n, m in (("a", "m0"), ("b", "m1"))))).alias("e"))
+    return solids.tube_volumes(u, ends.select("fil", "e.*"), TUBE)
