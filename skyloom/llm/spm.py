@@ -23,13 +23,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc, joined, mix, powers, prefix_hash, released, slices, span_hash, texts
+from .common import BYTE_VALUE, crc, joined, mix, powers, prefix_hash, released, slices, texts
 
 CHUNK = 1 << 20
 THETA = 1.5
 META = "▁".encode()
 _ODD = b"\xff\xfe\xfd"  # stands for a U+2581 of the text, which no piece matches
 BATCH_BYTES = 4 << 20
+ONE = 1 << 53  # probabilities are summed as integers, so that they hang on no other text of the batch
+_VALUE = BYTE_VALUE[0]
+_SIZE = np.ones(256, np.uint8)  # bytes of the character that begins so
+_SIZE[0xC0:0xE0], _SIZE[0xE0:0xF0], _SIZE[0xF0:0xF8] = 2, 3, 4
+
+
+def _keys(names: list[bytes]) -> np.ndarray:
+    """Polynomial hashes: a byte more adds its value times the next power."""
+    data, start, end = joined(names, b"\0")
+    prefix = prefix_hash(data)
+    return (prefix[end] - prefix[start]) * powers(0, len(prefix), True)[start]
 
 
 class Lattice:
@@ -45,19 +56,24 @@ class Lattice:
             if model.is_byte(i):
                 self.byte_id[int(name[3:5], 16)] = i
                 self.bytes_of[i] = bytes([int(name[3:5], 16)])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or "\0" in name):
                 self.bytes_of[i] = name.replace("▁", " ").encode()
                 names.append(name.encode())
                 ids.append(i)
                 score.append(model.get_score(i))
         rank = np.argsort(np.argsort(-np.array(score), kind="stable"), kind="stable")
-        data, start, end = joined(names, b"\0")
-        key = span_hash(prefix_hash(data), start, end)
+        key = _keys(names)
         by = np.argsort(key)
         self.keys, self.ids, self.weight = key[by], np.array(ids, np.int32)[by], (-theta * np.log1p(rank))[by]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(key >> np.uint64(44)).astype(np.int64)] = True
+        # by the first 20 bits of a hash: 2 * (the first such piece's place in keys, plus 1), and 1 more
+        # if some longer piece may begin so
         self.lengths = np.unique([len(x) for x in names])
+        self.longest = int(self.lengths[-1])
+        bits = (self.keys >> np.uint64(44)).astype(np.int64)
+        some, first, many = np.unique(bits, return_index=True, return_counts=True)
+        self.table, self.alike = np.zeros(1 << 20, np.int32), int(many.max())
+        self.table[some] = 2 * (first + 1)
+        self.table[(_keys(sorted({x[:k] for x in names for k in range(1, len(x))}) or [b""]) >> np.uint64(44)).astype(np.int64)] |= 1
         self.byte_weight = -theta * np.log1p(len(names))
 
     def chunks(self, text: bytes) -> bytes:
@@ -96,9 +112,17 @@ class Lattice:
             return [np.zeros(0, np.int32) for _ in parts]
         owner = np.searchsorted(start, at, "right") - 1
         stop = np.minimum(np.append(at[1:], len(data)), end[owner])
-        code = span_hash(prefix_hash(data), at, stop)
+        whole = np.diff(np.append(at, len(data)))
+        value = _VALUE[data[at[0] :]] * powers(0, int(whole.max()))[np.arange(len(data) - at[0]) - np.repeat(at - at[0], whole)]
+        value[end[end >= at[0]] - at[0]] = 0
+        code = mix(np.add.reduceat(value, at - at[0]) + (stop - at).astype(np.uint64))
         _, one, which = np.unique(code, return_index=True, return_inverse=True)
-        final, base, cum, edge_from, edge_id, first_edge = self.lattice([data[a:b].tobytes() for a, b in zip(at[one].tolist(), stop[one].tolist(), strict=True)])
+        size = (stop - at)[one]
+        to = np.cumsum(size + 1) - size - 1
+        place = np.arange(int(size.sum()) + len(size)) - np.repeat(to, size + 1)
+        distinct = data[np.repeat(at[one], size + 1) + place]
+        distinct[to + size] = 0
+        final, base, cum, edge_from, edge_id, first_edge = self.lattice(distinct, to, to + size)
         # backward sampling of all chunks at once
         first = np.searchsorted(owner, np.arange(len(parts)))
         seed = mix(keys.view(np.uint64)[owner] + (np.arange(len(at)) - first[owner]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -107,7 +131,7 @@ class Lattice:
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         count = np.zeros(len(at), np.int64)
         while len(live):
-            u = (mix(seed[live] + np.uint64(len(steps) + 1)) >> np.uint64(11)).astype(np.float64) / 2**53
+            u = (mix(seed[live] + np.uint64(len(steps) + 1)) >> np.uint64(11)).view(np.int64)
             e = first_edge[place]
             on = np.flatnonzero(u >= cum[e])
             while len(on):  # a place has few edges
@@ -126,75 +150,88 @@ class Lattice:
         last = np.searchsorted(owner, np.arange(len(parts)), "right")
         return [out[ends[a] : ends[b]] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
 
-    def lattice(self, chunks: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(end place of each chunk, its first place, edge probabilities cumulated among those of one end
-        place, the edges' start places and ids, each place's first edge), edges in the order of their end
-        places. A chunk's places are its bytes' and the one after them."""
-        data, start, end = joined(chunks, b"\0")
-        prefix, n = prefix_hash(data), len(data)
-        room = np.repeat(end, np.diff(np.append(start, n))) - np.arange(n)
-        back = powers(0, n + 1, True)
-        begins, stops, found = [], [], []
-        starts = np.flatnonzero(room > 0)
-        for length in self.lengths.tolist():
-            starts = starts[room[starts] >= length]
-            key = mix((prefix[starts + length] - prefix[starts]) * back[starts] + np.uint64(length))
-            hit = np.flatnonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])
-            piece = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
-            true = self.keys[piece] == key[hit]
-            begins.append(starts[hit[true]])
-            stops.append(begins[-1] + length)
-            found.append(piece[true])
-        begins, stops, found = (np.concatenate(x) for x in (begins, stops, found))
-        ids, weight = self.ids[found], self.weight[found]
+    def lattice(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(end place of each chunk, its first place, edge probabilities in units of 1 / ONE, cumulated
+        among those of one end place, the edges' start places and ids, each place's first edge). data:
+        the chunks, a zero after each, which no piece holds. A chunk's places are its bytes' and the one
+        after them. Edges are in the order of their end places' distance from the chunk's start."""
+        n = len(data)
+        kind = np.int32 if n < 1 << 31 else np.int64
+        count = np.zeros(n, np.uint16)  # edges that end at a place
+        covered = np.zeros(n, bool)  # by a piece of one character
+        covered[end] = True
+        edges = []
+        starts, key, power = np.arange(n), _VALUE[data], powers(0, self.longest)
+        for length in range(1, self.longest + 1):
+            if length > 1:  # of the starts that a longer piece may have
+                starts, key = starts[longer], key[longer]
+                inside = starts + (length - 1) < n
+                if not inside.all():
+                    starts, key = starts[inside], key[inside]
+                key += _VALUE[data[starts + (length - 1)]] * power[length - 1]
+            slot = self.table[(key >> np.uint64(44)).view(np.int64)]
+            hit = np.flatnonzero(slot > 1)
+            piece, hash_ = (slot[hit] >> 1) - 1, key[hit]
+            true = self.keys[piece] == hash_
+            for _ in range(self.alike - 1):
+                other = np.flatnonzero(~true)
+                piece[other] = np.minimum(piece[other] + 1, len(self.keys) - 1)
+                true[other] = self.keys[piece[other]] == hash_[other]
+            begin, piece = starts[hit[true]], piece[true]
+            edges.append((begin.astype(kind), length, count[begin + length], piece))
+            count[begin + length] += 1
+            if length <= 4:
+                single = begin[_SIZE[data[begin]] == length]
+                for k in range(length):
+                    covered[single + k] = True
+            longer = np.flatnonzero(slot & 1)
+            if not len(longer):
+                break
         # byte pieces where no piece of one character covers a byte
-        size = np.ones(n, np.int64)
-        size[data >= 0xC0] = 2
-        size[data >= 0xE0] = 3
-        size[data >= 0xF0] = 4
-        size[data >= 0xF8] = 1
-        covered = np.zeros(n + 8, np.int64)
-        single = stops - begins == size[begins]
-        np.add.at(covered, begins[single], 1)
-        np.add.at(covered, stops[single], -1)
-        bare = np.flatnonzero((np.cumsum(covered)[:n] == 0) & (room > 0))
+        bare = np.flatnonzero(~covered)
         byte = data[bare].copy()
         odd = (byte >= _ODD[2]) & (byte <= _ODD[0])
         byte[odd] = np.frombuffer(META, np.uint8)[_ODD[0] - byte[odd]]
-        begins, stops = np.concatenate([begins, bare]), np.concatenate([stops, bare + 1])
-        ids = np.concatenate([ids, self.byte_id[byte]])
-        weight = np.concatenate([weight, np.full(len(bare), self.byte_weight)])
-        # forward filtering, by the distance of an edge's end from its chunk's start
-        depth = np.arange(n + 1) - np.append(np.repeat(start, np.diff(np.append(start, n))), n)
-        order = np.lexsort((stops, depth[stops]))
-        begins, stops, ids, weight = begins[order], stops[order], ids[order], weight[order]
-        alpha = np.full(n + 1, -np.inf)
+        last = count[bare + 1]
+        count[bare + 1] += 1
+        # places by their distance from their chunk's start, and edges by their end places
+        depth = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
+        deepest = int(depth.max())
+        order = np.argsort(depth.astype(np.uint16) if deepest < 1 << 16 else depth, kind="stable")
+        many = count[order].astype(np.int64)
+        ends = np.append(0, np.cumsum(many))
+        first_edge = np.empty(n, kind)
+        first_edge[order] = ends[:-1]
+        begins, ids, weight = np.empty(ends[-1], kind), np.empty(ends[-1], np.int32), np.empty(ends[-1])
+        for begin, length, rank, piece in edges:
+            at = first_edge[begin + length] + rank
+            begins[at], ids[at], weight[at] = begin, self.ids[piece], self.weight[piece]
+        at = first_edge[bare + 1] + last
+        begins[at], ids[at], weight[at] = bare, self.byte_id[byte], self.byte_weight
+        del edges
+        # forward filtering
+        alpha = np.full(n, -np.inf)
         alpha[start] = 0
-        chance = np.zeros(len(stops))
-        level = np.searchsorted(depth[stops], np.arange(1, depth[stops].max() + 2 if len(stops) else 1))
-        for a, b in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
+        cum = np.empty(len(begins), np.int64)
+        level = np.append(0, np.cumsum(np.bincount(depth, minlength=deepest + 1))).tolist()
+        for i, j in zip(level[1:-1], level[2:], strict=True):
+            a, b = int(ends[i]), int(ends[j])
             if a == b:
                 continue
-            value, to = alpha[begins[a:b]] + weight[a:b], stops[a:b]
-            heads = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            some = i + np.flatnonzero(many[i:j])
+            heads, spread = ends[some] - a, many[some]
+            value = alpha[begins[a:b]] + weight[a:b]
             top = np.maximum.reduceat(value, heads)
-            spread = np.diff(np.append(heads, b - a))
             p = np.exp(value - np.repeat(np.where(np.isfinite(top), top, 0), spread))
             total = np.add.reduceat(p, heads)
             with np.errstate(divide="ignore"):
-                alpha[to[heads]] = top + np.log(total)
-            chance[a:b] = p / np.repeat(np.maximum(total, 1e-300), spread)
-        order = np.argsort(stops, kind="stable")
-        begins, stops, ids, chance = begins[order], stops[order], ids[order], chance[order]
-        total = np.cumsum(chance)
-        heads = np.flatnonzero(np.append(True, stops[1:] != stops[:-1])) if len(stops) else np.zeros(0, np.int64)
-        before = np.repeat(np.append(0, total)[heads], np.diff(np.append(heads, len(stops))))
-        inside = np.clip(total - before, 0, 1)
-        if len(heads):
-            inside[np.append(heads[1:], len(stops)) - 1] = 1
-        first_edge = np.zeros(n + 1, np.int64)
-        first_edge[stops[heads]] = heads
-        return end, start, inside, begins, ids, first_edge
+                alpha[order[some]] = top + np.log(total)
+            share = (p * np.repeat(ONE / np.maximum(total, 1e-300), spread)).astype(np.int64)
+            total = np.cumsum(share)
+            total -= np.repeat(total[heads] - share[heads], spread)
+            total[heads + spread - 1] = ONE
+            cum[a:b] = total
+        return end, start, cum, begins, ids, first_edge
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))

@@ -402,6 +402,43 @@ def test_pieces_longest():
     assert set(lattice.ids.tolist()) == set(plain) and max(lattice.lengths) == max(len(model.id_to_piece(i).encode()) for i in plain) > 32
 
 
+def test_pieces_work_and_batches():
+    """A place is looked up for as many bytes as a piece may still begin so, not for every length of a
+    piece; a word's probabilities are equal to the last bit whatever stands in its batch."""
+    tool = spm.Lattice(queries.vocabulary(queries.PIECES))
+    looked = []
+
+    class Seen(np.ndarray):
+        def __getitem__(self, at):
+            looked.append(np.size(at))
+            return np.asarray(self)[at]
+
+    words = [f"▁zygo{k}w{k * 7919 % 1000003}tional".encode() for k in range(3000)] + ["▁extraordinary".encode()]
+    tool.table = tool.table.view(Seen)
+
+    def last(chunks):
+        data = np.frombuffer(b"".join(x + b"\0" for x in chunks), np.uint8)
+        end = np.flatnonzero(data == 0)
+        _, _, cum, begins, ids, first = tool.lattice(data, end - [len(x) for x in chunks], end)
+        place, out = int(end[-1]) - len(chunks[-1]), []
+        for k in np.flatnonzero(begins >= place):
+            out.append((int(begins[k]) - place, int(ids[k]), int(cum[k])))
+        return len(data), sorted(out)
+
+    n, many = last(words)
+    assert 0 < sum(looked) < 12 * n < len(tool.lengths) * n
+    assert many == last(words[-1:])[1]
+
+
+def test_pieces_gaps():
+    """Texts with zero bytes, empty ones and U+2581 come back whole, first and last in a batch too."""
+    tool = spm.Lattice(queries.vocabulary(queries.PIECES))
+    parts = [b"", b"", b"a\0b \0", b"\0", "▁ ▁x".encode(), b"the same", b"", b"the same", b" ", b""]
+    alone = [tool.encode([x], np.array([k]))[0].tolist() for k, x in enumerate(parts)]
+    both = [x.tolist() for x in tool.encode(parts, np.arange(len(parts)))]
+    assert alone == both and [tool.decode(np.array(x, int)) for x in both] == parts
+
+
 def test_top_k(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = table.collect()
