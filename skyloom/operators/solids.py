@@ -1,6 +1,6 @@
 """Solids: Voronoi cells, convex hulls, volumes of unions of spheres.
 
-Each kernel works on a bounded neighbourhood (nearest points, overlapping spheres, a part of a group), so
+Each kernel works on a bounded neighbourhood (points within reach, overlapping spheres, a part of a group), so
 no group is gathered whole. Points with a null coordinate or id take no part; empty tables give empty results.
 """
 
@@ -14,123 +14,212 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import AXES, minimum_image
 from ..functions.tables import written
-from .rangejoin import nearest_k
+from .blocks import Grid, blocked, columns, image
 
 # -- Voronoi cells ------------------------------------------------------------------------------------
-CUBE = [([-1, 0, 0], [0, 3, 7, 4]), ([1, 0, 0], [1, 2, 6, 5]), ([0, -1, 0], [0, 1, 5, 4]), ([0, 1, 0], [3, 2, 6, 7]), ([0, 0, -1], [0, 1, 2, 3]), ([0, 0, 1], [4, 5, 6, 7])]
-
-
-def _clipped(faces: dict, normal: np.ndarray, limit: float, name: object, eps: float) -> dict:
-    """The convex solid (name -> ordered corners) cut to normal . x <= limit; the cut is a face called name."""
-    out, cut = {}, []
-    for key, corners in faces.items():
-        side = corners @ normal - limit
-        if (side <= eps).all():
-            out[key] = corners
-            cut.extend(corners[np.abs(side) <= eps])
-            continue
-        kept = []
-        for i, (a, s) in enumerate(zip(corners, side, strict=True)):
-            b, t = corners[i - 1], side[i - 1]
-            if (s > eps) != (t > eps) and abs(s) > eps and abs(t) > eps:
-                kept.append(b + (a - b) * (t / (t - s)))
-                cut.append(kept[-1])
-            if s <= eps:
-                kept.append(a)
-                if s >= -eps:
-                    cut.append(a)
-        if len(kept) > 2:
-            out[key] = np.array(kept)
-    if len(cut) > 2:
-        cut = np.array(cut)
-        far = np.abs(cut[:, None] - cut[None]).max(2) > 10 * eps
-        cut = cut[[i for i in range(len(cut)) if far[i, :i].all()]]
-        if len(cut) > 2:
-            u = np.cross(normal, np.eye(3)[np.abs(normal).argmin()])
-            off = cut - cut.mean(0)
-            out[name] = cut[np.argsort(np.arctan2(off @ np.cross(normal, u), off @ u))]
-    return out
-
-
-def voronoi_cell(near: np.ndarray, names: list, box: float, whole: bool) -> tuple[float, np.ndarray, list, bool]:
-    """(volume, mean of the corners, names of the neighbours, certain) of the cell of the origin among points at offsets
-    `near` in order of distance. Certain: no point beyond the last could cut it, that is, the last is twice as
-    far as the farthest corner, and so is half the box; or `whole`: all points are given, and
+SIDES = np.array([[-1.0, 0, 0], [1, 0, 0], [0, -1, 0], [0, 1, 0], [0, 0, -1], [0, 0, 1]])
+IMAGES = np.array([[x, y, z] for x in (0, -1, 1) for y in (0, -1, 1) for z in (0, -1, 1)], float)
+FIRST, MORE = 14, 10  # nearest points that cut a cell at first, and those that cut it again at most
+CELLS = 200  # cells of a block, on average
+BATCH = 16  # cells cut at once
+SHIFT = 0.2360679775  # of the grid on which corners are merged: corners of lattice points lie on halves
+
+
+def _edges(n: np.ndarray, h: np.ndarray, tol: float) -> tuple[np.ndarray, ...]:
+    """Edges of the solids n . x <= h (cells, planes, 3) with unit normals (0 for a missing plane): cell, both planes, both
+    ends, and the distances of the edge from both planes' feet. Two planes' line is an edge where all others leave
+    more than `tol` of it; of planes through one line only the outermost two have the edge."""
+    i, j = np.triu_indices(n.shape[1], 1)
+    t = n.transpose(0, 2, 1)
+    g, w = (n @ t)[:, i, j], np.cross(n[:, i], n[:, j])
+    size = np.sqrt((w * w).sum(2))
+    ok = size > 1e-10
+    size = np.where(ok, size, 1.0)
+    w /= size[..., None]
+    si, sj = (h[:, j] - g * h[:, i]) / size, (h[:, i] - g * h[:, j]) / size
+    base = (sj / size)[..., None] * n[:, i] + (si / size)[..., None] * n[:, j]
+    den, num = w @ t, h[:, None] - base @ t
+    p = np.arange(len(i))
+    for own in (i, j):
+        den[:, p, own], num[:, p, own] = 0.0, 1.0
+    flat = np.abs(den) < 1e-10
+    ok &= ~(flat & (num < -tol)).any(2)
+    for c, e, k in zip(*np.nonzero(flat & (num <= tol) & ok[..., None]), strict=True):  # plane k holds the line
+        a, b, q, d = n[c, i[e]], n[c, j[e]], n[c, k], w[c, e]
+        ok[c, e] &= np.cross(q, b) @ d > -1e-10 and np.cross(a, q) @ d > -1e-10
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = num / den
+    hi = np.where(den >= 1e-10, at, np.inf).min(2)
+    lo = np.where(den <= -1e-10, at, -np.inf).max(2)
+    c, e = np.nonzero(ok & (hi - lo > tol))
+    ends = [base[c, e] + v[c, e][:, None] * w[c, e] for v in (lo, hi)]
+    return c, i[e], j[e], *ends, si[c, e], sj[c, e]
+
+
+def voronoi_cells(off: np.ndarray, d: np.ndarray, box: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(volumes, means of the distinct corners, farthest corners, cells and points of the neighbours) of the cells of the
+    origin among points at offsets (cells, points, 3) in order of distance d (inf for a missing point),
+    within the cube of side `box`. A cell is cut by its nearest points, then by those that its corners show to cut it,
+    until there is none."""
+    many, most = d.shape
+    eps, tol, half = box * 1e-12, box * 1e-11, np.where(np.isfinite(d), d / 2, np.inf)
+    unit = np.where(np.isfinite(d)[..., None], off / np.where(np.isfinite(d), d, 1.0)[..., None], 0.0)
+    volume, mean, reach = np.zeros(many), np.zeros((many, 3)), np.zeros(many)
+    beside: list[tuple[np.ndarray, np.ndarray]] = []
+    fresh = np.isfinite(d)
+    live = np.arange(many)
+    which = np.where(fresh[:, :FIRST], np.arange(min(FIRST, most)), -1)
+    while len(live):
+        row, col = np.nonzero(which >= 0)
+        fresh[live[row], which[row, col]] = False
+        n, h = np.zeros((len(live), which.shape[1], 3)), np.ones((len(live), which.shape[1]))
+        n[row, col], h[row, col] = unit[live[row], which[row, col]], half[live[row], which[row, col]]
+        n = np.concatenate([np.broadcast_to(SIDES, (len(live), 6, 3)), n], 1)
+        h = np.concatenate([np.full((len(live), 6), box / 2), h], 1)
+        c, i, j, a, b, si, sj = _edges(n, h, tol)
+        order = np.argsort(np.concatenate([c, c]), kind="stable")
+        cell, spots = np.concatenate([c, c])[order], np.concatenate([a, b])[order]
+        count = np.bincount(cell, minlength=len(live))
+        corners = np.zeros((len(live), int(count.max()), 3))
+        corners[cell, np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)] = spots
+        far = np.sqrt((corners * corners).sum(2).max(1))
+        ends = int((d[live] < 2 * far[:, None]).sum(1).max())
+        cuts = np.zeros((len(live), ends), bool)
+        step = max(1, PAIRS // (len(live) * corners.shape[1]))
+        for k in range(0, ends, step):
+            to = slice(k, min(ends, k + step))
+            cuts[:, to] = fresh[live, to] & ((unit[live, to] @ corners.transpose(0, 2, 1)).max(2) > half[live, to] + eps)
+        again = cuts.any(1)
+        long = np.sqrt(((b - a) ** 2).sum(1))
+        planes = n.shape[1]
+        area = (np.bincount(c * planes + i, si * long, len(live) * planes) + np.bincount(c * planes + j, sj * long, len(live) * planes)).reshape(-1, planes) / 2
+        done = np.flatnonzero(~again)
+        volume[live[done]], reach[live[done]] = ((area * h).sum(1) / 3)[done], far[done]
+        got, col = np.nonzero(~again[:, None] & (2 * area[:, 6:] > (1e-7 * far[:, None]) ** 2))
+        beside.append((live[got], which[got, col]))
+        place = np.column_stack([cell, np.floor(spots / (1e-9 * box) + SHIFT)])
+        order = np.lexsort(place.T[::-1])
+        place, spots, cell = place[order], spots[order], cell[order]
+        new = np.concatenate([[True], (place[1:] != place[:-1]).any(1)])
+        total = np.bincount(cell[new], minlength=len(live))
+        middle = np.column_stack([np.bincount(cell[new], spots[new, x], len(live)) for x in range(3)]) / total[:, None]
+        mean[live[done]] = middle[done]
+        # the next round: planes with edges, and the nearest of the points that cut
+        kept = np.zeros((len(live), planes), bool)
+        kept[c, i] = kept[c, j] = True
+        kept, old, cuts = kept[again, 6:], which[again], cuts[again]
+        live = live[again]
+        cuts &= np.cumsum(cuts, 1) <= MORE
+        width = int((kept.sum(1) + cuts.sum(1)).max()) if len(live) else 0
+        which = np.full((len(live), width), -1)
+        for pick, source, start in ((kept, old, np.zeros(len(live), int)), (cuts, np.broadcast_to(np.arange(cuts.shape[1]), cuts.shape), kept.sum(1))):
+            row, col = np.nonzero(pick)
+            which[row, start[row] + (np.cumsum(pick, 1) - 1)[row, col]] = source[row, col]
+    cells, points = (np.concatenate(x) for x in zip(*beside, strict=True)) if beside else (np.zeros(0, int), np.zeros(0, int))
+    return volume, mean, reach, cells, points
+
+
+def _padded(row: np.ndarray, point: np.ndarray, off: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, distances and numbers of each row's points in order of distance, as (rows, most points)."""
+    d = np.sqrt((off * off).sum(1))
+    order = np.lexsort((d, row))
+    row, point, off, d = row[order], point[order], off[order], d[order]
+    count = np.bincount(row, minlength=many)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    most = max(1, int(count.max()) if many else 1)
+    wide, far, who = np.zeros((many, most, 3)), np.full((many, most), np.inf), np.zeros((many, most), np.int64)
+    wide[row, at], far[row, at], who[row, at] = off, d, point
+    return wide, far, who
+
+
+def _start(me: np.ndarray, at: np.ndarray, box: float, reach: float) -> np.ndarray:
+    """The radius in which a centre's points are sought first: `reach`, or less where points are dense."""
+    rel = [np.floor(image(x - me[0], box) / reach).astype(np.int64) for x in (at, me)]
+    low = np.minimum(rel[0].min(0), rel[1].min(0)) - 1
+    size = np.maximum(rel[0].max(0), rel[1].max(0)) - low + 2
+    cells = [np.ravel_multi_index((r - low).T, size) for r in rel]
+    have = np.bincount(cells[0], minlength=int(size.prod()))
+    near = sum(have[cells[1] + (x * size[1] + y) * size[2] + z] for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1))
+    return reach * np.minimum(1.0, (2000 / np.maximum(near, 1)) ** (1 / 3))
+
+
+def _cells_of(me: np.ndarray, ids: np.ndarray, at: np.ndarray, names: np.ndarray, box: float, reach: float, whole: bool) -> pa.Table:
+    """Cells of centres among points, which are all within `reach` of a centre, or `whole`: all there are, and
     their images are tried too."""
-    half = box / 2
-    corners = np.array([[x, y, z] for z in (-half, half) for x, y in ((-half, -half), (half, -half), (half, half), (-half, half))])
-    faces = {("box", i): corners[c] for i, (_, c) in enumerate(CUBE)}
-    eps = box * 1e-12
-    if whole and len(near):
-        images = np.array([[x, y, z] for x in (0, -box, box) for y in (0, -box, box) for z in (0, -box, box)])
-        near = (near[:, None] + images[None]).reshape(-1, 3)
-        names = [n for n in names for _ in images]
-        order = np.argsort((near * near).sum(1), kind="stable")
-        near, names = near[order], [names[i] for i in order]
-    reach, spots = math.sqrt(3) * half, corners
-    length = np.sqrt((near * near).sum(1))
-    for i, d in enumerate(length):
-        if d >= 2 * reach:
-            break
-        unit = near[i] / d
-        if (spots @ unit).max() <= d / 2 + eps:
-            continue
-        faces = _clipped(faces, unit, d / 2, (names[i], i), eps)
-        spots = np.concatenate(list(faces.values()))
-        reach = math.sqrt((spots * spots).sum(1).max())
-    certain = whole or (2 * reach <= half and bool(len(length)) and 2 * reach <= length[-1])
-    volume, neighbours = 0.0, set()
-    for (name, _), f in faces.items():
-        normal = np.cross(f[1:-1] - f[0], f[2:] - f[0])
-        volume += abs((normal @ f[0]).sum()) / 6
-        if name != "box" and np.sqrt((normal * normal).sum(1)).sum() > (1e-7 * reach) ** 2:
-            neighbours.add(name)
-    distinct = spots[np.unique(np.round(spots / (1e-9 * box)), axis=0, return_index=True)[1]]
-    return volume, distinct.mean(0), sorted(neighbours), certain
+    volume, mean, certain = np.zeros(len(me)), np.zeros((len(me), 3)), np.full(len(me), whole)
+    beside: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def cut(some: np.ndarray, row: np.ndarray, point: np.ndarray, off: np.ndarray, radius: np.ndarray | None) -> None:
+        wide, far, who = _padded(row, point, off, len(some))
+        v, m, r, c, p = voronoi_cells(wide, far, box)
+        sure = np.ones(len(some), bool) if radius is None else (2 * r <= radius) & (2 * r <= box / 2)
+        volume[some], mean[some], certain[some] = v, m, sure
+        ok = sure[c]
+        beside.append((some[c[ok]], names[who[c[ok], p[ok]]]))
+
+    if whole:
+        for k in range(len(me)):
+            others = np.flatnonzero(names != ids[k])
+            off = (image(at[others] - me[k], box)[:, None] + box * IMAGES).reshape(-1, 3)
+            cut(np.array([k]), np.zeros(len(off), int), np.repeat(others, 27), off, None)
+    else:
+        radius, grid = _start(me, at, box, reach), Grid(at, box, max(reach / 2, box / 64))
+        left = np.argsort(radius, kind="stable")
+        while len(left):
+            for k in range(0, len(left), BATCH):
+                some = left[k : k + BATCH]
+                r = radius[some]
+                found = []
+                for row, point in grid.candidates(me[some] - r[:, None], me[some] + r[:, None]):
+                    off = image(at[point] - me[some[row]], box)
+                    ok = ((off * off).sum(1) <= (r * r)[row]) & (names[point] != ids[some[row]])
+                    found.append((row[ok], point[ok], off[ok]))
+                row, point, off = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros((0, 3)))
+                cut(some, row, point, off, r)
+            left = left[~certain[left] & (radius[left] < reach)]
+            radius[left] = np.minimum(radius[left] * 1.6, reach)
+    mean = np.mod(me + mean, box)
+    c, p = (np.concatenate(x) for x in zip(*beside, strict=True))
+    order = np.lexsort((p, c))
+    c, p = c[order], p[order]
+    new = np.ones(len(c), bool)
+    new[1:] = (c[1:] != c[:-1]) | (p[1:] != p[:-1])
+    stops = np.concatenate([[0], np.cumsum(np.bincount(c[new], minlength=len(me)))]).astype(np.int32)
+    return pa.table({"id": ids, "volume": volume, **{f"c{a}": mean[:, x] for x, a in enumerate(AXES)}, "neighbours": pa.ListArray.from_arrays(pa.array(stops), pa.array(p[new])), "certain": certain})
 
 
 def voronoi(points: DataFrame, box: float, k: int = 96) -> DataFrame:
     """(id, volume, cx, cy, cz, neighbours): cells of distinct points in the periodic box, the mean of their corners
-    (wrapped), sorted neighbours. Of points at one place that of smallest id has the cell. A cell is cut by its k
-    nearest points; where a farther one might cut it, again by four times as many, at last by all."""
+    (wrapped), sorted neighbours. Of points at one place that of smallest id has the cell. Cells are cut in blocks of
+    the box, by the points within a radius that holds 1.6 k on average; cells with a corner farther than half of it
+    again with those within 1.6 times the radius, at last with all points and their images."""
     where = [F.col(c).isNotNull() for c in ("id", *AXES)]
-    sites = points.where(where[0] & where[1] & where[2] & where[3]).groupBy(*AXES).agg(F.min("id").alias("id")).select("id", *AXES)
+    sites = points.where(where[0] & where[1] & where[2] & where[3]).groupBy(*AXES).agg(F.min("id").alias("id")).select(F.col("id").cast("bigint").alias("id"), *AXES)
     sites = written(sites, "sites")
     total, left, out = sites.count(), sites, None
-    todo = total
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = {"id": [], "volume": [], "cx": [], "cy": [], "cz": [], "neighbours": [], "certain": []}
-            for row in batch.to_pylist():
-                near = row["near"] or []
-                v, c, n, sure = voronoi_cell(np.array([[p["x"], p["y"], p["z"]] for p in near], dtype=float).reshape(-1, 3), [p["id"] for p in near], box, len(near) >= total - 1)
-                for name, value in zip(got, (row["id"], v, *((row[a] + o) % box for a, o in zip(AXES, c, strict=True)), n, sure), strict=True):
-                    got[name].append(value)
-            yield pa.RecordBatch.from_pydict(got, schema=pa.schema([("id", pa.int64()), *((c, pa.float64()) for c in ("volume", "cx", "cy", "cz")), ("neighbours", pa.list_(pa.int64())), ("certain", pa.bool_())]))
-
+    reach, todo = max(box * (1.6 * k / max(1, total) / 4.19) ** (1 / 3), box / 500), total
+    schema = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("volume", "cx", "cy", "cz")), T.StructField("neighbours", T.ArrayType(T.LongType())), T.StructField("certain", T.BooleanType())])
     while True:
-        k = min(k, max(1, total - 1))
-        step = max(box * (1.6 * k / max(1, total) / 4.19) ** (1 / 3), box / 500)  # a sphere of 1.6 k points on average
-        near = nearest_k(sites, left, k + 1, step, box).where("centre != point")
-        offset = {c: minimum_image(F.col(f"p{c}") - F.col(c), box).cast("double").alias(c) for c in AXES}
-        rows = near.hint("merge").join(sites.select(F.col("id").alias("point"), *(F.col(c).alias(f"p{c}") for c in AXES)).hint("merge"), "point").hint("merge").join(left.withColumnRenamed("id", "centre").hint("merge"), "centre")
-        # at most k neighbours a site
-        lists = rows.groupBy("centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(F.col("point").alias("id"), *offset.values()).alias("p")))), lambda s: s["p"]).alias("near"))
-        # about 200 cells, a second or two of work, for each task
-        spread = left.hint("merge").join(lists.withColumnRenamed("centre", "id").hint("merge"), "id", "left").repartition(-(-max(1, todo) // 200), "id")
-        cells = spread.mapInArrow(run, "id bigint, volume double, cx double, cy double, cz double, neighbours array<bigint>, certain boolean")
-        cells = written(cells, "cells")
+        whole = reach > box / 2
+        side = box / 2 if whole else reach
+
+        def kernel(p: pa.Table, q: pa.Table, whole: bool = whole, side: float = side) -> pa.Table:
+            return _cells_of(columns(p, *AXES), p["id"].to_numpy(), columns(q, *AXES), q["id"].to_numpy(), box, side, whole)
+
+        wide = side * (1 + 1e-9)
+        around = sites.select("*", *((F.col(c) - wide).alias(f"l{c}") for c in AXES), *((F.col(c) + wide).alias(f"h{c}") for c in AXES))
+        cells = written(blocked(left, around, box, kernel, schema, CELLS, max(1, min(2000, -(-todo // CELLS)))), "cells")
         part = cells.where("certain").drop("certain")
         out = part if out is None else out.unionByName(part)
-        left = left.hint("merge").join(cells.where("not certain").select("id").hint("merge"), "id", "left_semi")
-        if k >= total - 1 or left.isEmpty():
+        again = cells.where("not certain").select("id")
+        todo = 0 if whole else again.count()
+        if not todo:
             return out
-        left, k = written(left, "uncertain"), 4 * k
-        todo = left.count()
+        left, reach = written(left.hint("merge").join(again.hint("merge"), "id", "left_semi"), "uncertain"), 1.6 * reach
 
 
 def voronoi_edges(cells: DataFrame, group: DataFrame) -> DataFrame:

@@ -143,3 +143,24 @@ def test_unions_share_no_exploded_rows(spark, monkeypatch):
     whole = solids.union_volumes(long, "fil").collect()
     monkeypatch.setattr(solids, "MANY", 20)
     assert solids.union_volumes(long, "fil").collect()[0].volume == pytest.approx(whole[0].volume, rel=1e-8)
+
+
+def test_cells_are_cut_in_blocks(spark, monkeypatch):
+    """No table of neighbours is made and shuffled. A lattice, whose planes meet in common lines and whose corners in more
+    than three planes; and a dense group in thin surroundings."""
+    names, write = [], solids.written
+    for module in (solids, rangejoin):
+        monkeypatch.setattr(module, "written", lambda df, name: names.append((name, df._jdf.queryExecution().toString())) or write(df, name))
+    monkeypatch.setattr(solids, "CELLS", 30, raising=False)
+    lattice = spark.range(216).selectExpr("id", "id % 6 * 100D / 6 + 5 AS x", "id DIV 6 % 6 * 100D / 6 + 5 AS y", "id DIV 36 * 100D / 6 + 5 AS z")
+    got = solids.voronoi(lattice, BOX).collect()
+    assert len(got) == 216 and all(c.volume == pytest.approx(BOX**3 / 216) and len(c.neighbours) == 6 for c in got)
+    at = {r.id: (r.x, r.y, r.z) for r in lattice.collect()}
+    assert all((c.cx, c.cy, c.cz) == pytest.approx(at[c.id], abs=1e-6) for c in got)
+    rng = np.random.default_rng(8)
+    places = np.concatenate([rng.normal(99, 1.5, (250, 3)) % BOX, rng.uniform(0, BOX, (250, 3))])
+    rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(places)], "id long, x double, y double, z double")
+    cells = {c.id: c for c in solids.voronoi(rows, BOX).collect()}
+    assert sorted(cells) == list(range(500)) and sum(c.volume for c in cells.values()) == pytest.approx(BOX**3, rel=1e-9)
+    assert all(a in cells[b].neighbours for a in cells for b in cells[a].neighbours)
+    assert {n for n, _ in names} <= {"sites", "cells", "uncertain"} and not any("Window" in plan for _, plan in names)
