@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 import __spark_entry__ as entry_points
 from skyloom.functions import geometry as g
-from skyloom.operators import blocks, graph, halos, polyline, profiles, rangejoin, stacking
+from skyloom.operators import blocks, controls, graph, halos, polyline, profiles, rangejoin, stacking
 from skyloom.plans import catalog
 from skyloom.plans.catalog import ORACLES, QUERIES
 from skyloom.sources import fixtures, snapshots
@@ -259,3 +259,21 @@ def test_ratio_profile_reads_each_side_once(spark):
     rows = spark.createDataFrame([(1, 0, 2.0), (1, 0, 0.5), (1, 1, 2.0)], "fil long, k long, perp2 double")
     out = profiles.ratio_profile(rows, rows, [4.0, 1.0], 10.0)
     assert not joins(out) and sorted(map(tuple, out.collect())) == [(1, 0, 10.0, 1), (1, 1, 10.0, 1)]
+
+
+def test_fixings_in_blocks_equal_rays_of_all_pairs(spark, monkeypatch):
+    """Nodes and particles that share places, rows without a place or an id; no pair and no ray is joined by Spark."""
+    rng = np.random.default_rng(11)
+    at, pts = rng.integers(0, 100, (60, 3)), rng.integers(0, 100, (500, 3))
+    rows = [(k * 7, *map(int, p)) for k, p in enumerate(np.concatenate([at, at[:30], at[:30]]))]
+    nodes = spark.createDataFrame([*rows, (3, None, 1, 1), (None, 1, 2, 3)], "id long, x long, y long, z long")
+    p = points(spark, [*pts.tolist(), *pts[:200].tolist()])
+    near = rangejoin.range_join(nodes, nodes, 12, 100, p="b_", c="a_").where("a_id < b_id and d2 >= 16")
+    pairs = near.select((F.col("a_id") * 1000003 + F.col("b_id")).alias("id"), *(F.col(f"{e}_{c}").alias(f"{e}{c}") for e in "ab" for c in "xyz"), F.sqrt(F.col("d2").cast("double")).alias("d"))
+    want = profiles.direction_matrix(p, controls.fixings(pairs, 3), 8, 12, [64.0, 16.0], 2, 3, 100)
+    monkeypatch.setattr(profiles, "NODES", 20)
+    got = profiles.fixing_matrix(p, nodes, 4, 12, 3, [64.0, 16.0], 2, 100)
+    key = lambda df: {(r["side"], r["ix"], r["iy"]): r["n"] for r in df.collect()}
+    assert not joins(got) and key(got) == pytest.approx(key(want)) and len(key(got)) == 12
+    assert not profiles.fixing_matrix(p, nodes.where("id < 0"), 4, 12, 3, [64.0, 16.0], 2, 100).count()
+    assert "Join" not in QUERIES["ag26_ag27_direction_matrix"](spark, SF)._jdf.queryExecution().executedPlan().toString()
